@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filter
+from . import mixing, packing, sharding, topk_search, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.op2_sharding,
         "op4_mixing": mixing.op4_mixing,
+        "op5_packing": packing.op5_packing,
+        "op8_topk_search": topk_search.op8_topk_search,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": mixing.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op8_topk_search": topk_search.OP8_SQL, "op10_url_filter": url_filter.OP10_SQL}
