@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, topk_search, url_filter
+from . import embedding_dedup, mixing, packing, sharding, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
+        "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op8_topk_search": topk_search.op8_topk_search,
         "op10_url_filter": url_filter.op10_url_filter,
     }
