@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, packing, sharding, topk_search, url_filter
+from . import embedding_dedup, mixing, ngram_join, packing, sharding, topk_search, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
