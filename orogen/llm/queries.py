@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, ngram_join, packing, sharding, topk_search, url_filter
+from . import embedding_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+        "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_topk_search": topk_search.op8_topk_search,
         "op10_url_filter": url_filter.op10_url_filter,
     }
