@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, url_filter
+from . import embedding_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_sharding": sharding.op2_sharding,
         "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op4_mixing": mixing.op4_mixing,
