@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity, url_filter
+from . import embedding_dedup, line_quality, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_topk_search": topk_search.op8_topk_search,
+        "op9_quality_classifier": line_quality.op9_quality_classifier,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 

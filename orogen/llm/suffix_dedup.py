@@ -267,8 +267,8 @@ def with_row_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("bytes", F.octet_length(body).cast("long"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text, row_key.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text, row (the columns of keep, as a struct).
 
     Texts are UTF-8 bytes, null as empty. A byte goes if a string of `length` bytes that covers it also
     starts elsewhere, in any document, the same one included; strings are those of the input. spans are
@@ -276,11 +276,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     in which a character that was cut apart is left out. Texts shorter than `length` lose nothing, and
     repeated rows lose everything that is as long. An empty table gives no rows; other columns are not read.
     """
-    keyed = with_row_keys(docs.select("doc_id", "text")).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    keyed = with_row_keys(docs.select("doc_id", "text", row.alias("row"))).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     ranges = repeated_ranges(keyed.select("row_key", "bytes", "text"), length, q)
     ranges = ranges.groupBy("row_key", "bytes").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = materialize(ranges, "suffix-ranges").select(F.col("row_key").alias("of_key"), F.col("bytes").alias("of_bytes"), "ranges")
-    joined = keyed.join(ranges, (F.col("row_key") == F.col("of_key")) & (F.col("bytes") == F.col("of_bytes")), "left").select("doc_id", "row_key", "text", "ranges")
+    joined = keyed.join(ranges, (F.col("row_key") == F.col("of_key")) & (F.col("bytes") == F.col("of_bytes")), "left").select("doc_id", "row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -304,14 +305,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
                 counts = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, span), pa.array(kept, pa.string()), batch.column(1)],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "row_key"],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "row"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    row_kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>, kept_text string, row_key long"
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>, kept_text string, row {row_kind}"
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with their columns and rows, the repeated bytes taken out of text; an n_chars column follows."""
+    rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    out = remove_repeats(docs, length, keep=rest)
+    kept = F.col("kept_text").cast(docs.schema["text"].dataType)
+    columns = {"text": kept} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
