@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
+from .word_bpe import text_ids
 
 WINDOW = 2048
 END_ID = 1
 #: Cells that number the pieces of one length in parallel.
 N_CELLS = 256
-#: Words that one worker keeps the ids of.
-CACHE = 300_000
 
 
 def default_tokenizer() -> str:
@@ -31,43 +30,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit numbers, equal to encoding it whole.
-
-    The vocabulary never joins across white space, so words are encoded once each by the tokenizer
-    and kept. Texts with U+001C to U+001F, which split() takes for white space and the tokenizer does
-    not, are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                yield self._encode([text])[0]
-                continue
-            words = text.split()
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                new = list({w for w in words if w not in known})
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(words))
-                known.update(zip(new, self._encode(new), strict=True))
-                yield b"".join([known[w] for w in words])
-
-
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids): one row per piece of at most a window."""
     path = tokenizer or default_tokenizer()
@@ -77,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WI
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(path)
+        encoder = text_ids(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at, starts, lengths, sums, totals, kept = [], [], [], [], [], []
