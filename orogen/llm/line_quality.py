@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sliced
 from .toxicity import fold_of, labelled
 
 #: Most labelled rows that are learned from; the smallest hashes of doc_id are taken.
@@ -202,7 +202,7 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(w, step)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found = scores([t or "" for t in batch.column(1).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
@@ -229,7 +229,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(w, step)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found = scores([t or "" for t in batch.column(text).to_pylist()], model)
             yield batch.filter(pa.array(found >= threshold))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, materialize
+from .common import connected_components, documents, materialize, sliced
 from .groups import block_pairs, linked, over_groups
 
 NGRAM = 5
@@ -27,7 +27,7 @@ RECALL = 0.9995
 ROWS = 5
 BLOCK = 128
 #: Words that one worker keeps the hashes of; n-grams and columns handled at once.
-CACHE, SPAN, COLUMNS = 500_000, 1 << 13, 1 << 13
+CACHE, SPAN, COLUMNS = 100_000, 1 << 13, 1 << 13
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -94,7 +94,7 @@ class MinHash:
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, minhash = NgramSets(n), MinHash(bands, rows)
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, found, last = [], [], {}
             for text in batch.column(3).to_pylist():
                 items = sets(text)
@@ -117,7 +117,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _with_sets(texts: DataFrame, n: int) -> DataFrame:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = NgramSets(n)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sets(t).astype("<u8").tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             keep = [batch.column(i) for i, f in enumerate(batch.schema.names) if f != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.binary())], names=[f for f in batch.schema.names if f != "text"] + ["items"])

@@ -20,6 +20,8 @@ from .word_bpe import text_ids
 
 WINDOW = 2048
 END_ID = 1
+#: Documents that are turned into ids at once.
+SLICE = 1024
 #: Cells that number the pieces of one length in parallel.
 N_CELLS = 256
 
@@ -38,26 +40,30 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WI
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
 
+    def pieces(encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        at, starts, lengths, sums, totals, kept = [], [], [], [], [], []
+        for i, ids in enumerate(encoder.batch(texts)):
+            ids += last
+            for begin in range(0, len(ids), width):
+                piece = ids[begin : begin + width]
+                at.append(i)
+                starts.append(begin // 4)
+                lengths.append(len(piece) // 4)
+                sums.append(zlib.crc32(piece))
+                totals.append(len(ids) // 4)
+                if keep_ids:
+                    kept.append(piece)
+        columns = [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
+        if keep_ids:
+            columns.append(pa.array(kept, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_ids(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at, starts, lengths, sums, totals, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.batch(texts)):
-                ids += last
-                for begin in range(0, len(ids), width):
-                    piece = ids[begin : begin + width]
-                    at.append(i)
-                    starts.append(begin // 4)
-                    lengths.append(len(piece) // 4)
-                    sums.append(zlib.crc32(piece))
-                    totals.append(len(ids) // 4)
-                    if keep_ids:
-                        kept.append(piece)
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
-            if keep_ids:
-                columns.append(pa.array(kept, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                yield pieces(encoder, whole.slice(begin, SLICE))
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 

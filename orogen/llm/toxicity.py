@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, sliced
 
 #: Buckets of the feature hash.
 DIM = 1 << 22
@@ -28,7 +28,7 @@ ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.5
 #: Rows of a shard in which a feature must occur to be learned.
 LEAST = 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”‘’-_"
-CACHE = 500_000
+CACHE = 150_000
 
 
 class Features:
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], dim: int = DIM,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weight = Features(dim), np.zeros(dim, "f4")
         weight[at] = w
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 found = features(t or "")

@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Words of the younger and of the older generation that one worker keeps the ids of.
-CACHE = 400_000
+CACHE = 320_000
 #: Longest word, in bytes, that is merged in arrays.
 LONGEST = 48
 NONE = np.int32(2**31 - 1)
