@@ -12,23 +12,22 @@ from ..operators import shapes as G
 from ..plans.presets import presets
 from .inputs import POINTS, SHAPES, WORLD, points, primitives, table, weights_sql
 
-X, Z = F.col("x"), F.col("z")
 THRESHOLD = E.hit_threshold(WORLD)
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points beside the prepared primitives whose box holds them, met on grid cells."""
-    return E._nearby(points(spark, sf_dir), G.prepare(primitives(spark, sf_dir)).withColumnRenamed("id", "primitive"), 0.0).where(G.holds(X, Z))
+    return E._nearby(points(spark, sf_dir), G.prepare(primitives(spark, sf_dir)).withColumnRenamed("id", "primitive"), 0.0).where(G.holds(F.col("x"), F.col("z")))
 
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir).where(F.col("type") == G.AREA).where(G.inside(X, Z, F.col("segments")))
+    rows = _near(spark, sf_dir).where(F.col("type") == G.AREA).where(G.inside(F.col("x"), F.col("z"), F.col("segments")))
     return rows.select("id", "primitive")
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir).withColumn("w", G.weight(X, Z)).where("w > 0")
-    return rows.select("id", "primitive", F.round("w", 6).alias("w"), F.round(G.distance(X, Z, F.col("segments")), 6).alias("distance"))
+    rows = _near(spark, sf_dir).withColumn("w", G.weight(F.col("x"), F.col("z"))).where("w > 0")
+    return rows.select("id", "primitive", F.round("w", 6).alias("w"), F.round(G.distance(F.col("x"), F.col("z"), F.col("segments")), 6).alias("distance"))
 
 
 def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
