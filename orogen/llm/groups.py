@@ -42,7 +42,8 @@ def over_groups(rows: DataFrame, keys: list[str], per_group: Callable[[pd.DataFr
                 continue
             cut = _starts(pdf, keys)
             done, held = pdf.iloc[: cut[-1]], pdf.iloc[cut[-1] :]
-            yield from groups(done, cut[:-1])
+            if len(done):
+                yield from groups(done, cut[:-1])
         if held is not None and len(held):
             yield from groups(held, _starts(held, keys))
 

@@ -100,19 +100,19 @@ def take_words(docs: DataFrame, **options) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     plan = materialize(mix_documents(docs, **options), "mix-plan").where("taken > 0")
     rank = Window.partitionBy("doc_id", "size").orderBy(F.desc("taken"))
-    plan = plan.withColumn("turn_", F.row_number().over(rank)).select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), "turn_", "taken")
-    given = docs.withColumn("words_", size)
-    given = given.withColumn("place_", F.row_number().over(Window.partitionBy("doc_id", "words_").orderBy("source", F.xxhash64("text"))))
-    out = given.join(plan, given["doc_id"].eqNullSafe(plan["id_"]) & (given["words_"] == plan["size_"]) & (given["place_"] == plan["turn_"]))
-    out = out.withColumn("epoch_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("words_")))))
-    left = F.col("taken") - (F.col("epoch_") - 1) * F.col("words_")
+    plan = plan.withColumn("turn", F.row_number().over(rank)).select(F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), "turn", "taken")
+    given = docs.select("doc_id", size.alias("words"), F.struct(*docs.columns).alias("row"))
+    given = given.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "words").orderBy("row.source", F.xxhash64("row.text"))))
+    out = given.join(plan, given["doc_id"].eqNullSafe(plan["of_id"]) & (given["words"] == plan["of_size"]) & (given["place"] == plan["turn"]))
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("words")))))
+    left = F.col("taken") - (F.col("epoch") - 1) * F.col("words")
     # words are marked off only in the one row per source that is cut inside its text
-    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
-    text = F.when(left >= F.col("words_"), F.col("text")).otherwise(F.array_join(F.slice(parts, F.lit(1), left.cast("int")), ""))
-    out = out.withColumn("text", text)
+    parts = F.regexp_extract_all(F.col("row.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    out = out.withColumn("cut", F.when(left >= F.col("words"), F.col("row.text")).otherwise(F.array_join(F.slice(parts, F.lit(1), left.cast("int")), "")))
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 OP4_SQL = r"""

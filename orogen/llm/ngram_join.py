@@ -214,8 +214,8 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     pick = judged.where("kept").groupBy("class_id").agg(F.min("row_key").alias("pick_"))
     stay = judged.where("kept").select("class_id", "row_key", "n_links").distinct()
     stay = stay.join(pick, stay["class_id"].eqNullSafe(pick["class_id"])).where("row_key = pick_ or n_links = 0").select(F.col("row_key").alias("stay_")).distinct()
-    out = docs.withColumn("row_", F.xxhash64("doc_id", "text")).join(stay, F.col("row_") == F.col("stay_"))
-    return out.dropDuplicates(["row_"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.join(stay, F.col("key") == F.col("stay_")).dropDuplicates(["key"]).select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

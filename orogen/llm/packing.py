@@ -8,6 +8,7 @@ their rank among the pieces of equal length.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, sliced
 from .word_bpe import text_ids
 
 WINDOW = 2048
@@ -61,9 +62,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_ids(path)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, SLICE):
-                yield pieces(encoder, whole.slice(begin, SLICE))
+        gc.disable()  # nothing here is cyclic, and lists of words are many
+        try:
+            for batch in sliced(batches, SLICE):
+                yield pieces(encoder, batch)
+        finally:
+            gc.enable()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 

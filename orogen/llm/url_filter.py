@@ -48,26 +48,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     if len(lengths) > 2048:
         raise ValueError("rules have paths of more than 2048 different lengths")
     host, path = split_url(F.col(url))
-    given = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     most = max(lengths, default=0)
-    given = given.withColumn("short_path_", F.substring("path", 1, most))
+    given = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("short", F.substring("path", 1, most))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-    prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("short_path_")), lambda n: F.substring(F.col("short_path_"), F.lit(1), n))
-    distinct = given.select("host", "short_path_").distinct()
+    prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("short")), lambda n: F.substring(F.col("short"), F.lit(1), n))
+    distinct = given.select("host", "short").distinct()
     tried = (
         distinct.withColumn("suffix", F.explode(suffixes))
         .withColumn("cut", F.explode(prefixes))
         .withColumn("expression", F.concat("suffix", "cut"))
-        .select("host", "short_path_", *_digest(F.col("expression")))
+        .select("host", "short", *_digest(F.col("expression")))
     )
     listed = rules.where("rule is not null").select(F.col("rule"), F.col("verdict"), *_digest(F.col("rule")))
     hits = tried.join(listed, "prefix").where(tried["digest"] == listed["digest"])
-    best = hits.groupBy("host", "short_path_").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule"))).alias("best"))
-    out = given.join(best, ["host", "short_path_"], "left")
-    columns = [c for c in given.columns if c != "short_path_"]
-    return out.select(*columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "short").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule"))).alias("best"))
+    out = given.join(best, ["host", "short"], "left")
+    return out.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:

@@ -199,5 +199,5 @@ class TextIds:
                     yield b"".join([young[w] for w in words])
                 except KeyError:  # the generation changed between
                     self._learn(set(words).difference(young), not other)
-                    young = self.young
-                    yield b"".join([young[w] for w in words])
+                    young, old = self.young, self.old  # and may change again, but then the old one has the rest
+                    yield b"".join([young[w] if w in young else old[w] for w in words])
