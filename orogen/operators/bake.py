@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions.frames import once, spread
 from ..functions.scalars import clamp, num
 from ..plans.graph import compile_graph
 from . import shapes
@@ -83,12 +84,12 @@ def to_tiles(prepared: DataFrame, world: World) -> DataFrame:
         return out
 
     spline = F.col("type") == shapes.SPLINE
-    near = near.withColumn("segments", F.when(spline, F.filter("segments", by_tile)).otherwise(F.col("segments"))).where(F.size("segments") > 0)
+    near = once(spread(near, "ty", "tx", "id"), segments=F.when(spline, F.filter("segments", by_tile)).otherwise(F.col("segments"))).where(F.size("segments") > 0)
+    box = {}
     for a in "xz":
         for fold, end, sign in ((F.array_min, "min", -1), (F.array_max, "max", 1)):
-            shrunk = fold(F.col("segments")[f"{end}{a}"]) + sign * pad
-            near = near.withColumn(f"{end}{a}", F.when(spline, shrunk).otherwise(F.col(f"{end}{a}")))
-    return near
+            box[f"{end}{a}"] = F.when(spline, fold(F.col("segments")[f"{end}{a}"]) + sign * pad).otherwise(F.col(f"{end}{a}"))
+    return once(near, **box)
 
 
 def weighted_samples(prepared: DataFrame, world: World) -> DataFrame:
@@ -96,10 +97,10 @@ def weighted_samples(prepared: DataFrame, world: World) -> DataFrame:
     near = to_tiles(prepared, world)
     x0, x1 = K.sample_range(F.col("minx"), F.col("maxx"), F.col("tx"), world.tile_size, world.tiles_per_side, world.unit)
     y0, y1 = K.sample_range(F.col("minz"), F.col("maxz"), F.col("ty"), world.tile_size, world.tiles_per_side, world.unit)
-    near = near.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}).where("x0 <= x1 and y0 <= y1")
+    near = once(near, x0=x0, x1=x1, y0=y0, y1=y1).where("x0 <= x1 and y0 <= y1")
     rows = near.withColumn("sy", F.explode(F.sequence(F.col("y0").cast("int"), F.col("y1").cast("int")))).withColumn("sx", F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))))
     rows = rows.withColumn("wx", world.to_world(F.col("tx"), F.col("sx"))).withColumn("wz", world.to_world(F.col("ty"), F.col("sy")))
-    rows = rows.withColumn("w", shapes.weight(F.col("wx"), F.col("wz"))).where("w > 0")
+    rows = once(rows, w=shapes.weight(F.col("wx"), F.col("wz"))).where("w > 0")
     return rows.select("ty", "tx", "sy", "sx", "wx", "wz", "w", "id", "ord", "type", "mode", "elevation", "noiseScale", "priority", "height", "fieldId")
 
 
@@ -170,7 +171,7 @@ def evaluate_points(points: DataFrame, primitives: DataFrame, world: World) -> D
     cells = prepared.withColumn("cz", F.explode(F.sequence(F.floor(F.col("minz") / step), F.floor(F.col("maxz") / step))))
     cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col("minx") / step), F.floor(F.col("maxx") / step)))).withColumnRenamed("id", "primitive")
     given = points.select("id", "x", "z", F.floor(F.col("x") / step).alias("cx"), F.floor(F.col("z") / step).alias("cz"))
-    met = given.join(cells, ["cx", "cz"]).where(shapes.holds(F.col("x"), F.col("z"))).withColumn("w", shapes.weight(F.col("x"), F.col("z"))).where("w > 0")
+    met = once(given.join(cells, ["cx", "cz"]).where(shapes.holds(F.col("x"), F.col("z"))), w=shapes.weight(F.col("x"), F.col("z"))).where("w > 0")
     target = shapes.target_elevation(F.col("mode"), F.col("elevation"), world.water, world.height)
     area = F.col("type") == shapes.AREA
     found = met.groupBy("id").agg(

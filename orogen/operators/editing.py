@@ -18,7 +18,7 @@ def hit_threshold(world: World | None) -> float:
     return 30.0 if world is None else max(24.0, world.size * 0.006)
 
 
-def _nearby(pointers: DataFrame, features: DataFrame, reach: float) -> DataFrame:
+def nearby(pointers: DataFrame, features: DataFrame, reach: float) -> DataFrame:
     """pointers (id, x, z) beside features (minx, maxx, minz, maxz) whose box is within reach, by an equi-join on grid cells."""
     cell = num(max(reach, 1.0) * 4)
     given = pointers.withColumn("cz_", F.floor(F.col("z") / cell)).withColumn("cx_", F.floor(F.col("x") / cell))
@@ -32,7 +32,7 @@ def nearest_anchor(pointers: DataFrame, primitives: DataFrame, threshold: float)
     anchors = primitives.select(F.col("id").alias("primitive"), "ord", F.posexplode("anchors").alias("i", "a"))
     boxes = anchors.select("primitive", "ord", "i", F.col("a.id").alias("anchor"), F.col("a.x").alias("ax"), F.col("a.z").alias("az"))
     boxes = boxes.withColumns({f"{m}{a}": F.col(f"a{a}") for m in ("min", "max") for a in "xz"})
-    met = _nearby(pointers, boxes, threshold).withColumn("distance", F.hypot(F.col("x") - F.col("ax"), F.col("z") - F.col("az"))).where(F.col("distance") <= threshold)
+    met = nearby(pointers, boxes, threshold).withColumn("distance", F.hypot(F.col("x") - F.col("ax"), F.col("z") - F.col("az"))).where(F.col("distance") <= threshold)
     best = met.groupBy("id").agg(F.min(F.struct("distance", "ord", "i", "primitive", "anchor")).alias("b"))
     return best.select("id", "b.primitive", "b.anchor", "b.distance")
 
@@ -59,7 +59,7 @@ def nearest_segment(pointers: DataFrame, primitives: DataFrame, threshold: float
     rows = rows.where(kept).select("primitive", "ord", F.col("s.i").alias("i"), at.alias("insert_at"), *[F.col(f"s.{e}.{a}").alias(f"{e}{a}") for e in "ab" for a in "xz"])
     rows = rows.withColumns({f"{m}{a}": f(F.col(f"a{a}"), F.col(f"b{a}")) for m, f in (("min", F.least), ("max", F.greatest)) for a in "xz"})
     s = F.struct("ax", "az", "bx", "bz")
-    met = _nearby(pointers, rows, reach).withColumn("s", s)
+    met = nearby(pointers, rows, reach).withColumn("s", s)
     met = met.withColumn("distance", F.sqrt(shapes.segment_distance2(F.col("x"), F.col("z"), F.col("s")))).where(F.col("distance") <= reach)
     best = met.groupBy("id").agg(F.min(F.struct("distance", (-F.col("ord")).alias("later"), "i", "primitive", "insert_at")).alias("b"))
     return best.select("id", "b.primitive", "b.insert_at", "b.distance")
@@ -82,7 +82,7 @@ def primitive_hits(pointers: DataFrame, primitives: DataFrame, threshold: float)
     x, z = F.col("x"), F.col("z")
     near = shapes.distance(x, z, F.col("segments")) <= F.col("reach")
     hit = ((F.col("type") == shapes.AREA) & (F.col("n") >= 3) & shapes.inside(x, z, F.col("segments"))) | near
-    met = _nearby(pointers, rows, threshold).where(hit)
+    met = nearby(pointers, rows, threshold).where(hit)
     return met.select("id", "primitive", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ord"))).alias("rank"))
 
 

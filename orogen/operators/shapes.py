@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import once
 from ..functions.scalars import EPSILON, bind, clamp, num, smoothstep
 
 # Default smoothness, longest straight step, least steps per segment.
@@ -93,13 +94,10 @@ def usable() -> Column:
 def prepare(primitives: DataFrame) -> DataFrame:
     """Usable primitives with points, segments and bounds (minx, maxx, minz, maxz; splines padded by half their width)."""
     area = F.col("type") == AREA
-    out = primitives.where(usable()).withColumn("points", spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
-    out = out.withColumn("segments", segments_of(F.col("points"), area))
+    out = once(primitives.where(usable()), points=spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
     pad = F.when(area, F.lit(0.0)).otherwise(F.col("width") / 2)
-    for axis in "xz":
-        along = F.col("points")[axis]
-        out = out.withColumn(f"min{axis}", F.array_min(along) - pad).withColumn(f"max{axis}", F.array_max(along) + pad)
-    return out
+    box = {f"min{a}": F.array_min(F.col("points")[a]) - pad for a in "xz"} | {f"max{a}": F.array_max(F.col("points")[a]) + pad for a in "xz"}
+    return once(out, segments=segments_of(F.col("points"), area), **box)
 
 
 def inside(x: Column, z: Column, segments: Column) -> Column:

@@ -17,7 +17,7 @@ THRESHOLD = E.hit_threshold(WORLD)
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points beside the prepared primitives whose box holds them, met on grid cells."""
-    return E._nearby(points(spark, sf_dir), G.prepare(primitives(spark, sf_dir)).withColumnRenamed("id", "primitive"), 0.0).where(G.holds(F.col("x"), F.col("z")))
+    return E.nearby(points(spark, sf_dir), G.prepare(primitives(spark, sf_dir)).withColumnRenamed("id", "primitive"), 50.0).where(G.holds(F.col("x"), F.col("z")))
 
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
