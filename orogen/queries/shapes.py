@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import once
 from ..operators import bake as B
 from ..operators import editing as E
 from ..operators import pyramid as P
@@ -26,8 +27,9 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir).withColumn("w", G.weight(F.col("x"), F.col("z"))).where("w > 0")
-    return rows.select("id", "primitive", F.round("w", 6).alias("w"), F.round(G.distance(F.col("x"), F.col("z"), F.col("segments")), 6).alias("distance"))
+    x, z = F.col("x"), F.col("z")
+    rows = once(_near(spark, sf_dir), w=G.weight(x, z), distance=G.distance(x, z, F.col("segments"))).where("w > 0")
+    return rows.select("id", "primitive", F.round("w", 6).alias("w"), F.round("distance", 6).alias("distance"))
 
 
 def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
