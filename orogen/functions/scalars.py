@@ -103,18 +103,23 @@ def hash2(x: Column, y: Column, seed: int) -> Column:
     """A point of an integer lattice, mixed to [0, 1]."""
     # The multipliers of the lattice hash.
     mixed = mul32(x, 374761393).bitwiseXOR(mul32(y, 668265263)).bitwiseXOR(F.lit((seed * 1442695041) & U32))
-    mixed = mixed.bitwiseXOR(F.shiftright(mixed, 13))
-    mixed = mul32(mixed, 1274126177)
-    return mixed.bitwiseXOR(F.shiftright(mixed, 16)).cast("double") / float(U32)
+    mixed = bind(mixed, lambda h: mul32(h.bitwiseXOR(F.shiftright(h, 13)), 1274126177))
+    return bind(mixed, lambda h: h.bitwiseXOR(F.shiftright(h, 16)).cast("double") / float(U32))
 
 
 def value_noise(x: Column, y: Column, seed: int) -> Column:
     """Lattice hashes of the four corners around (x, y), blended smoothly."""
-    xi, yi = F.floor(x).cast("bigint"), F.floor(y).cast("bigint")
-    tx, ty = ease(x - xi), ease(y - yi)
-    low = lerp(hash2(xi, yi, seed), hash2(xi + 1, yi, seed), tx)
-    high = lerp(hash2(xi, yi + 1, seed), hash2(xi + 1, yi + 1, seed), tx)
-    return lerp(low, high, ty)
+    place = F.struct(*[F.floor(v).cast("bigint").alias(f"{n}0") for n, v in (("x", x), ("y", y))], x.alias("x"), y.alias("y"))
+
+    def corners(p: Column) -> Column:
+        four = [hash2(p["x0"] + i, p["y0"] + j, seed).alias(f"h{i}{j}") for j in (0, 1) for i in (0, 1)]
+        return F.struct(*four, ease(p["x"] - p["x0"]).alias("tx"), ease(p["y"] - p["y0"]).alias("ty"))
+
+    def blend(q: Column) -> Column:
+        sides = F.struct(lerp(q["h00"], q["h10"], q["tx"]).alias("a"), lerp(q["h01"], q["h11"], q["tx"]).alias("b"))
+        return bind(sides, lambda s: lerp(s["a"], s["b"], q["ty"]))
+
+    return bind(bind(place, corners), blend)
 
 
 def rolling_height(x: Column, y: Column, seed: int = 42) -> Column:
@@ -122,7 +127,7 @@ def rolling_height(x: Column, y: Column, seed: int = 42) -> Column:
     # First amplitude 0.62, first frequency 0.0032, seed step 101, scale 0.86, offset 0.07.
     octaves = [(0.62 * 0.5**k, 0.0032 * 2**k, seed + 101 * k) for k in range(5)]
     total = reduce(lambda a, b: a + b, [value_noise(x * f, y * f, s) * a for a, f, s in octaves])
-    return clamp(total / sum(a for a, _, _ in octaves) * 0.86 + 0.07, 0, 1)
+    return bind(total / sum(a for a, _, _ in octaves) * 0.86 + 0.07, lambda v: clamp(v, 0, 1))
 
 
 def fnv1a(text: Column) -> Column:

@@ -151,8 +151,9 @@ def bake(primitives: DataFrame, world: World, library: list[dict] | None = None)
     by_sample = rows.groupBy("ty", "tx", "sy", "sx").agg(
         F.collect_list(F.when(F.col("type") == shapes.AREA, area)).alias("areas"), F.collect_list(F.when(F.col("type") == shapes.SPLINE, spline)).alias("splines")
     )
-    elevation = fold_splines(fold_areas(F.col("areas"), world.height), F.col("splines"), world.height)
-    return by_sample.select("ty", "tx", "sy", "sx", K.to_sample(elevation.cast("double"), world.height).alias("h"))
+    folded = once(by_sample, ground=fold_areas(F.col("areas"), world.height))
+    folded = once(folded, elevation=fold_splines(F.col("ground"), F.col("splines"), world.height).cast("double"))
+    return folded.select("ty", "tx", "sy", "sx", K.to_sample(F.col("elevation"), world.height).alias("h"))
 
 
 def dense(baked: DataFrame, world: World) -> DataFrame:
