@@ -289,3 +289,29 @@ def test_dirty_stream(spark, tmp_path):
     T.keep_pyramid(stream, store, "w", 2, 2, f"{tmp_path}/c").awaitTermination()
     top = codecs.unpack_tiles(store.read_tiles("w").where("d = 1"), 2)
     assert {r["h"] for r in top.collect()} == {8}
+
+
+def test_lifecycle(spark, tmp_path):
+    from orogen.plans import lifecycle
+
+    store = Store(spark, f"file://{tmp_path}")
+    config = {"name": " World ", "tileSize": 2, "tilesPerSide": 2, "unitSize": 1, "unit": "foot", "worldHeight": 100}
+    with pytest.raises(ValueError, match="power of two. Unit size"):
+        lifecycle.create_world(store, "w", config | {"tileSize": 3, "unitSize": 0})
+    assert lifecycle.create_world(store, "w", config)["name"] == "World"
+    assert codecs.unpack_tiles(store.read_tiles("w"), 2).agg(F.sum("h"), F.count("h")).first() == (0, 20)
+    assert lifecycle.open_project(store, "w")["id"] == "w" and store.open_last()["id"] == "w"
+    anchors = [{"id": f"a{i}", "x": x, "z": z} for i, (x, z) in enumerate([(-9, -9), (9, -9), (9, 9), (-9, 9)])]
+    document = {"primitives": [{"id": "p", "type": "landformArea", "elevation": 80, "anchors": anchors}]}
+    saved = lifecycle.bake_project(store, "w", document)
+    assert saved["lastBake"]["status"] == "clean" and saved["lastBake"]["tileCount"] == 5 and store.read_document("w")["lastBake"]["primitiveCount"] == 1
+    assert {r["h"] for r in codecs.unpack_tiles(store.read_tiles("w"), 2).collect()} == {52428}
+
+    class Full(Store):
+        def write_tiles(self, project, tiles):
+            raise OSError("no space left")
+
+    with pytest.raises(OSError):
+        lifecycle.bake_project(Full(spark, f"file://{tmp_path}"), "w", document)
+    failed = store.read_document("w")["lastBake"]
+    assert (failed["status"], failed["error"]) == ("failed", "no space left")
