@@ -50,7 +50,7 @@ _ANCESTORS = "anc AS (SELECT DISTINCT (x >> k)::INT AS x, (y >> k)::INT AS y, (d
 
 
 def usable_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = heightmap(spark, sf_dir).withColumn("ty", F.expr(f"gy div {TILE}")).withColumn("tx", F.expr(f"gx div {TILE}"))
+    rows = heightmap(spark, sf_dir).withColumn("ty", F.expr(f"cast(gy div {TILE} as int)")).withColumn("tx", F.expr(f"cast(gx div {TILE} as int)"))
     return P.usable_range(rows, ["ty", "tx"])
 
 
@@ -202,7 +202,7 @@ v AS (SELECT x, y, k, amp, fx * fx * (3 - 2 * fx) AS tx, fy * fy * (3 - 2 * fy)
       max(CASE WHEN a = 0 AND b = 1 THEN xor(h1, h1 >> 16) / 4294967295.0::DOUBLE END) AS v01, max(CASE WHEN a = 1 AND b = 1 THEN xor(h1, h1 >> 16) / 4294967295.0::DOUBLE END) AS v11
       FROM m GROUP BY x, y, k, amp, fx, fy),
 w AS (SELECT x, y, sum(((v00 + (v10 - v00) * tx) + ((v01 + (v11 - v01) * tx) - (v00 + (v10 - v00) * tx)) * ty) * amp ORDER BY k) / {sum(0.62 * 0.5**k for k in range(5))!r}::DOUBLE AS n FROM v GROUP BY x, y)
-SELECT x, y, floor(greatest(0, least(1, n * 0.86 + 0.07)) * 65535 + 0.5)::INT AS h FROM w"""
+SELECT x::INT AS x, y, floor(greatest(0, least(1, n * 0.86 + 0.07)) * 65535 + 0.5)::INT AS h FROM w"""
 
 
 QUERIES = {
@@ -218,7 +218,7 @@ SQL = {
     "usable_tiles": f"WITH {HEIGHTMAP} SELECT gy // {TILE} AS ty, gx // {TILE} AS tx, max(h) - min(h) > 64 AS usable FROM heightmap GROUP BY 1, 2",
     "tile_keys": """WITH k AS (SELECT DISTINCT (o_orderkey % 8)::INT AS x, (o_custkey % 8)::INT AS y FROM orders)
 SELECT x, y, 'd0/y' || y || '/x' || x AS id, 'tiles/d0/y' || y || '/x' || x || '.png' AS path, y::BIGINT * 32768 + x AS number, x // 2 AS px, y // 2 AS py, 1 AS pd,
-       x // 2 * 2 + 1 AS se_x, y // 2 * 2 + 1 AS se_y, 4 AS side, x < 4 AND y < 4 AS valid_above, 21 AS above FROM k""",
+       x // 2 * 2 + 1 AS se_x, y // 2 * 2 + 1 AS se_y, 4 AS side, x < 4 AND y < 4 AS valid_above, 21::BIGINT AS above FROM k""",
     "world_units": f"""WITH p AS (SELECT p_partkey, p_retailprice, p_retailprice / 1000 AS scale, (1 << (p_size % 12)) AS size, p_partkey % 40 AS side, ['foot', 'meter', 'cm'][p_partkey % 3 + 1] AS unit FROM part)
 SELECT p_partkey, round(size::DOUBLE * side * scale, 6) AS linear, round((size::DOUBLE * side * scale * {_MILES} / 5280) ** 2, 6) AS miles,
        round(scale * CASE unit WHEN 'foot' THEN 3.280839895::DOUBLE WHEN 'meter' THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END, 6) AS units, side IN (1, 2, 4, 8, 16, 32) AS power,
