@@ -223,7 +223,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs, all their columns, whose texts score at least the threshold."""
+    """The rows of docs, all their columns, whose texts score at least the threshold.
+
+    Null and empty texts are judged as one empty line, repeated rows each; without any labelled row all
+    stay. An empty table stays empty.
+    """
     chain = train(labelled(docs, labels, "quality", 5, 0, max_rows))
     w, step, text = chain.w, chain.step, docs.columns.index("text")
 

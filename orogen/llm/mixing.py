@@ -95,7 +95,8 @@ def take_words(docs: DataFrame, **options) -> DataFrame:
 
     A last, partial copy keeps the first words of its text up to the cut. Rows of which the mix takes
     nothing go, also those without words. Rows that agree in doc_id and size share their takings in
-    the order of their texts' hashes; an n_chars column follows the new text.
+    the order of their texts' hashes; an n_chars column follows the new text. Other columns, whatever
+    their names, are kept. An empty table stays empty.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     plan = materialize(mix_documents(docs, **options), "mix-plan").where("taken > 0")

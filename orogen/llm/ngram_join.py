@@ -208,7 +208,8 @@ def join_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the one of the smallest doc_id (and of equal ones, of the smallest text hash).
 
-    Rows without words stay, except that repeated rows (equal doc_id and text) become one.
+    Rows without words stay, except that repeated rows (equal doc_id and text) become one. All columns,
+    whatever their names, are kept; of repeated rows that differ in them any one stays. An empty table stays empty.
     """
     judged = materialize(join_documents(docs, **options), "ngram-judged")
     pick = judged.where("kept").groupBy("class_id").agg(F.min("row_key").alias("pick_"))

@@ -310,7 +310,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep: tupl
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with their columns and rows, the repeated bytes taken out of text; an n_chars column follows."""
+    """docs with their columns and rows, the repeated bytes taken out of text; an n_chars column follows.
+
+    Every occurrence goes. A null text becomes empty, and so does a text all of which repeats; rows stay
+    in any case. Other columns, whatever their names, are kept. An empty table stays empty.
+    """
     rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     out = remove_repeats(docs, length, keep=rest)
     kept = F.col("kept_text").cast(docs.schema["text"].dataType)
