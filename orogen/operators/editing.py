@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import once, spread
 from ..functions.scalars import num
 from . import shapes
 from .bake import World
@@ -45,7 +46,7 @@ def nearest_segment(pointers: DataFrame, primitives: DataFrame, threshold: float
     """
     reach = max(18.0, threshold * 0.75)
     area = F.col("type") == shapes.AREA
-    rows = primitives.where(shapes.usable()).withColumn("points", shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
+    rows = once(primitives.where(shapes.usable()), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
     raw = (F.coalesce("splineSmoothness", F.lit(shapes.SMOOTHNESS)) <= 0) | (F.size("anchors") < 3)
     n = F.size("points")
     pairs = F.transform(
@@ -71,18 +72,17 @@ def primitive_hits(pointers: DataFrame, primitives: DataFrame, threshold: float)
     An area is hit inside its outline and near it, a spline within half its width and somewhat more than near it.
     """
     area = F.col("type") == shapes.AREA
-    rows = primitives.where(F.size("anchors") >= 2).withColumn("points", shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
-    rows = rows.withColumn("segments", shapes.segments_of(F.col("points"), area))
+    rows = once(primitives.where(F.size("anchors") >= 2), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
     reach = F.when(area, num(threshold)).otherwise(F.greatest(num(threshold * 1.6), F.coalesce(F.col("width"), num(0)) / 2))
-    rows = rows.withColumn("reach", reach)
-    for a in "xz":
-        along = F.col("points")[a]
-        rows = rows.withColumn(f"min{a}", F.array_min(along) - F.col("reach")).withColumn(f"max{a}", F.array_max(along) + F.col("reach"))
+    rows = once(rows, segments=shapes.segments_of(F.col("points"), area), reach=reach)
+    box = {f"min{a}": F.array_min(F.col("points")[a]) - F.col("reach") for a in "xz"} | {f"max{a}": F.array_max(F.col("points")[a]) + F.col("reach") for a in "xz"}
+    rows = once(rows, **box)
     rows = rows.select(F.col("id").alias("primitive"), "ord", "type", F.size("anchors").alias("n"), "segments", "reach", "minx", "maxx", "minz", "maxz")
     x, z = F.col("x"), F.col("z")
     near = shapes.distance(x, z, F.col("segments")) <= F.col("reach")
     hit = ((F.col("type") == shapes.AREA) & (F.col("n") >= 3) & shapes.inside(x, z, F.col("segments"))) | near
-    met = nearby(pointers, rows, threshold).where(hit)
+    met = nearby(spread(pointers, "id"), rows, threshold).where(shapes.holds(x, z))
+    met = once(met, hit=hit).where("hit")
     return met.select("id", "primitive", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ord"))).alias("rank"))
 
 
