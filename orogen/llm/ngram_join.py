@@ -145,17 +145,8 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarra
     return np.rint(out[i, j]).astype("i8")
 
 
-def join_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id, n_links, kept, row_key.
-
-    Two rows link if the Jaccard similarity of their sets of word n-grams is at least the threshold;
-    n_links counts the other rows a row links with directly (copies included), class_id is the smallest doc_id
-    reachable by links, kept says that it is the row's own. Null texts and texts without words have
-    no n-grams and link with nothing, not even one another; texts of fewer than n words link if their words are equal. Repeated
-    rows are copies of one another and share class and links. A null doc_id is ignored in class_id
-    unless all of the class are null. An empty table gives no rows; other columns are not read.
-    row_key tells rows apart as far as doc_id and text do.
-    """
+def _judged(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What join_documents returns, and component: the smallest node of a row's class, null without n-grams."""
     bands = bands_for(threshold, recall, rows)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.octet_length(body).cast("long").alias("bytes"), body.alias("text"))
@@ -197,24 +188,38 @@ def join_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "n", "low").join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("low").alias("class_low"))
-    known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "class_low")
+    known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "class_low", "component")
     out = signed.select("doc_id", "row_key", "node").join(known, "node", "left")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_low"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "row_key").withColumn(
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "row_key", "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("class_id"))
     )
 
 
+def join_documents(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, class_id, n_links, kept, row_key.
+
+    Two rows link if the Jaccard similarity of their sets of word n-grams is at least the threshold;
+    n_links counts the other rows a row links with directly (copies included), class_id is the smallest doc_id
+    reachable by links, kept says that it is the row's own. Null texts and texts without words have
+    no n-grams and link with nothing, not even one another; texts of fewer than n words link if their words are equal. Repeated
+    rows are copies of one another and share class and links. A null doc_id is ignored in class_id
+    unless all of the class are null. An empty table gives no rows; other columns are not read.
+    row_key tells rows apart as far as doc_id and text do.
+    """
+    return _judged(docs, **options).drop("component")
+
+
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the one of the smallest doc_id (and of equal ones, of the smallest text hash).
 
     Rows without words stay, except that repeated rows (equal doc_id and text) become one. All columns,
     whatever their names, are kept; of repeated rows that differ in them any one stays. An empty table stays empty.
     """
-    judged = materialize(join_documents(docs, **options), "ngram-judged")
-    pick = judged.where("kept").groupBy("class_id").agg(F.min("row_key").alias("pick_"))
-    stay = judged.where("kept").select("class_id", "row_key", "n_links").distinct()
-    stay = stay.join(pick, stay["class_id"].eqNullSafe(pick["class_id"])).where("row_key = pick_ or n_links = 0").select(F.col("row_key").alias("stay_")).distinct()
+    judged = materialize(_judged(docs, **options), "ngram-judged")
+    # classes may agree in class_id (all of their doc_ids null, or one doc_id with several texts), so each is known by its component
+    pick = judged.where("kept and component is not null").groupBy("component").agg(F.min("row_key").alias("stay_")).select("stay_")
+    stay = pick.unionByName(judged.where("component is null").select(F.col("row_key").alias("stay_"))).distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     return keyed.join(stay, F.col("key") == F.col("stay_")).dropDuplicates(["key"]).select("row.*")
 

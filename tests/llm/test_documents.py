@@ -185,6 +185,15 @@ def test_ngram_join_on_odd_tables(odd_docs, no_docs):
     assert ngram_join.join_documents(no_docs).count() == 0 and ngram_join.first_of_each(no_docs).count() == 0
 
 
+def test_first_of_each_class_of_one_class_id(spark):
+    """Classes whose smallest doc_id is the same, or null, stay apart."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, a + " x"), (None, b), (None, b), (7, c), (9, c), (7, d), (11, d + " x"), (None, None), (None, ""), (None, "")]
+    got = [tuple(r) for r in ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(i is None and (t or "").startswith("a0 ") for i, t in got) == 1
+    assert sorted(map(str, (g for g in got if not (g[1] or "").startswith("a0 ")))) == sorted(map(str, [(None, b), (7, c), (7, d), (None, None), (None, "")]))
+
+
 # --- mixing ---
 
 
