@@ -157,7 +157,8 @@ def _cells(contexts: DataFrame, length: int) -> DataFrame:
     """Cells of a run: strings whose start lies CELL * cell to CELL * cell + CELL - 1 bytes before the suffix.
 
     core: bucket of the bytes that all strings of the cell share; full: bucket of all its bytes, null if
-    the run has only part of the cell.
+    the run has only part of the cell. run is where the run starts: a suffix near the border of two spans
+    of a long text may stand for a run in each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +181,12 @@ def _cells(contexts: DataFrame, length: int) -> DataFrame:
             full = np.zeros(len(row), "u8")
             full[whole] = _join(buckets.at((far + shift)[whole], length + CELL - 1), tag[whole])
             take = pa.array(row)
-            columns = [col[n].take(take) for n in ("row_key", "bytes", "suffix", "open")]
+            columns = [*(col[n].take(take) for n in ("row_key", "bytes", "suffix")), col["low"].take(take), col["open"].take(take)]
             columns += [pa.array(cell), pa.array(np.maximum(far, low[row])), pa.array(np.minimum(near, high[row])), _signed(core), pa.array(full.view("i8"), mask=~whole)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "bytes", "suffix", "open", "cell", "low", "high", "core", "full"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "bytes", "suffix", "run", "open", "cell", "low", "high", "core", "full"])
 
     return contexts.select("row_key", "bytes", "suffix", "low", "high", "gram", "open", "data").mapInArrow(
-        run, "row_key long, bytes long, suffix long, open boolean, cell long, low long, high long, core long, full long"
+        run, "row_key long, bytes long, suffix long, run long, open boolean, cell long, low long, high long, core long, full long"
     )
 
 
@@ -240,8 +241,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     cells = materialize(cells, "suffix-cells-judged")
     by_cell = cells.where("equal and open").select("row_key", "bytes", "low", "high")
     left = cells.where("open and not equal").select("core").distinct()
-    left = cells.join(left, "core").groupBy("row_key", "bytes", "suffix").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    strings = materialize(_strings(contexts.join(left, ["row_key", "bytes", "suffix"]), length), "suffix-strings")
+    left = cells.join(left, "core").groupBy("row_key", "bytes", "suffix", "run").agg(F.collect_set(F.struct("low", "high")).alias("ranges")).withColumnRenamed("run", "low")
+    strings = materialize(_strings(contexts.join(left, ["row_key", "bytes", "suffix", "low"]), length), "suffix-strings")
     twice = strings.groupBy("bucket").agg(n.alias("n")).where("n > 1").select("bucket")
     by_string = strings.where("open").join(twice, "bucket").select("row_key", "bytes", "low", F.col("low").alias("high"))
     return settled.unionByName(by_cell).unionByName(by_string)

@@ -376,6 +376,18 @@ def test_suffix_dedup_spans_long_texts(spark, monkeypatch):
     assert [tuple(s) for s in got[1]["spans"]] == [(131_000, 132_000)] and got[2]["kept_text"] == "xy"
 
 
+def test_suffix_dedup_at_span_borders(spark):
+    """Long texts whose spans share a suffix at their border, in several row orders: each run is read in its own bytes."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=280_000 + i))) for i in range(6)]
+    rows += [(10, "x" + rows[2][1][130_900:131_900] + "y"), (11, rows[4][1][262_000:262_399])]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_removed", "spans").collect()
+        spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got}
+        assert spans == {i: [] for i, _ in rows} | {2: [(130_900, 131_900)], 10: [(1, 1001)]}
+
+
 def test_suffix_dedup_on_odd_tables(odd_docs, no_docs):
     out = suffix_dedup.without_repeats(odd_docs)
     rows = [r for r in out.select("doc_id", "text", "n_chars", "row").collect()]
