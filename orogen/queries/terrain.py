@@ -110,7 +110,18 @@ def point_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = spark.range(16).select((F.col("id") % 2).cast("int").alias("lod"), F.expr("cast(id div 8 as int)").alias("cy"), F.expr("cast((id div 2) % 4 as int)").alias("cx"))
-    chunks = chunks.where("lod = 0 or (cy < 1 and cx < 2)")
+    return _meshed(spark, sf_dir, chunks.where("lod = 0 or (cy < 1 and cx < 2)"))
+
+
+def chunk_mesh_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of the heightmap: 16 at lod 0, 4 at lod 1 and 1 at lod 2. chunk_mesh takes the part that its SQL has."""
+    side = F.expr(f"cast({SIDE} >> lod as int)")
+    chunks = spark.range(3).select(F.col("id").cast("int").alias("lod"))
+    chunks = chunks.withColumn("cy", F.explode(F.sequence(F.lit(0), side - 1))).withColumn("cx", F.explode(F.sequence(F.lit(0), side - 1)))
+    return _meshed(spark, sf_dir, chunks)
+
+
+def _meshed(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     out = V.chunk_mesh(chunks, P.pyramid(heightmap(spark, sf_dir), 2), GRID, segments=16)
     return out.select("lod", "cy", "cx", "vy", "vx", *[F.round(c, 6).alias(c) for c in ("height", "r", "g", "b", "nx", "ny", "nz", "radius")])
 
@@ -207,7 +218,7 @@ SELECT x::INT AS x, y, floor(greatest(0, least(1, n * 0.86 + 0.07)) * 65535 + 0.
 
 QUERIES = {
     "heightmap_grid": heightmap_grid, "lod_pyramid": lod_pyramid, "lod_dirty": lod_dirty, "dirty_ancestors": dirty_ancestors, "usable_tiles": usable_tiles, "tile_keys": tile_keys,
-    "world_units": world_units, "hash_points": hash_points, "value_noise_tile": value_noise_tile, "point_heights": point_heights, "chunk_mesh": chunk_mesh, "chunk_plan": chunk_plan,
+    "world_units": world_units, "hash_points": hash_points, "value_noise_tile": value_noise_tile, "point_heights": point_heights, "chunk_mesh": chunk_mesh, "chunk_mesh_whole": chunk_mesh_whole, "chunk_plan": chunk_plan,
     "quadtree_select": quadtree_select, "selection_change": selection_change, "selection_totals": selection_totals,
 }
 SQL = {

@@ -20,6 +20,7 @@ from orogen.operators import sampling as V
 from orogen.operators import shapes as G
 from orogen.plans import graph as plan
 from orogen.plans import presets
+from orogen.queries import terrain
 from orogen.sources import codecs
 from orogen.sources.store import Store, boolean_setting
 from orogen.streaming import edits as T
@@ -315,3 +316,24 @@ def test_lifecycle(spark, tmp_path):
         lifecycle.bake_project(Full(spark, f"file://{tmp_path}"), "w", document)
     failed = store.read_document("w")["lastBake"]
     assert (failed["status"], failed["error"]) == ("failed", "no space left")
+
+
+def test_whole_chunk_mesh(spark):
+    """All 21 chunks of the heightmap, against arrays: also the lower and right borders, where heights are held."""
+    sf = "/root/testdata/sf0.001"
+    level = np.zeros((64, 64), "i8")
+    for r in terrain.heightmap(spark, sf).collect():
+        level[r["gy"], r["gx"]] = r["h"]
+    got = {(r["lod"], r["cy"], r["cx"], r["vy"], r["vx"]): r for r in terrain.chunk_mesh_whole(spark, sf).collect()}
+    assert len(got) == 21 * 17 * 17
+    for lod in range(3):
+        side = 64 >> lod
+        at = lambda y, x: level[np.clip(y, 0, side - 1), np.clip(x, 0, side - 1)] / 65535 * 1000  # noqa: B023, E731
+        y, x = np.mgrid[: side + 1, : side + 1]
+        sx, sz = at(y, x - 1) - at(y, x + 1), at(y - 1, x) - at(y + 1, x)
+        long = np.sqrt(sx * sx + 4 + sz * sz)
+        want = {"height": at(y, x), "nx": sx / long, "ny": 2 / long, "nz": sz / long}
+        for cy, cx, vy, vx in np.ndindex(side // 16, side // 16, 17, 17):
+            r = got[lod, cy, cx, vy, vx]
+            assert all(r[k] == pytest.approx(v[cy * 16 + vy, cx * 16 + vx], abs=2e-6) for k, v in want.items())
+        level = (level.reshape(side // 2, 2, side // 2, 2).sum(axis=(1, 3)) + 2) // 4
