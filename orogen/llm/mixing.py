@@ -94,17 +94,18 @@ def take_words(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: each row as often as the mix takes it.
 
     A last, partial copy keeps the first words of its text up to the cut. Rows of which the mix takes
-    nothing go, also those without words. Rows that agree in doc_id and size share their takings in
+    nothing go, also those without words. Rows that agree in source, doc_id and size share their takings in
     the order of their texts' hashes; an n_chars column follows the new text. Other columns, whatever
     their names, are kept. An empty table stays empty.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     plan = materialize(mix_documents(docs, **options), "mix-plan").where("taken > 0")
-    rank = Window.partitionBy("doc_id", "size").orderBy(F.desc("taken"))
-    plan = plan.withColumn("turn", F.row_number().over(rank)).select(F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), "turn", "taken")
-    given = docs.select("doc_id", size.alias("words"), F.struct(*docs.columns).alias("row"))
-    given = given.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "words").orderBy("row.source", F.xxhash64("row.text"))))
-    out = given.join(plan, given["doc_id"].eqNullSafe(plan["of_id"]) & (given["words"] == plan["of_size"]) & (given["place"] == plan["turn"]))
+    rank = Window.partitionBy("source", "doc_id", "size").orderBy(F.desc("taken"))
+    plan = plan.withColumn("turn", F.row_number().over(rank)).select(F.col("source").alias("of_source"), F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), "turn", "taken")
+    given = docs.select(F.col("source").cast("string").alias("in_source"), "doc_id", size.alias("words"), F.struct(*docs.columns).alias("row"))
+    given = given.withColumn("place", F.row_number().over(Window.partitionBy("in_source", "doc_id", "words").orderBy(F.xxhash64("row.text"))))
+    same = given["in_source"].eqNullSafe(plan["of_source"]) & given["doc_id"].eqNullSafe(plan["of_id"])
+    out = given.join(plan, same & (given["words"] == plan["of_size"]) & (given["place"] == plan["turn"]))
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("words")))))
     left = F.col("taken") - (F.col("epoch") - 1) * F.col("words")
     # words are marked off only in the one row per source that is cut inside its text

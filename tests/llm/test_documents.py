@@ -252,6 +252,19 @@ def test_taken_words(spark, odd_docs):
     assert out.columns == odd_docs.columns and out.count() > 0
 
 
+def test_taken_words_of_each_source(spark):
+    """Rows of several sources that agree in doc_id and size: each source gets its own takings."""
+    made = [(i, " ".join(f"{s}{k}" for k in range(10)), s or None) for s, n in (("a", 40), ("b", 6), ("c", 1), ("", 3)) for i in [None] * n + [7]]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix_documents(docs).collect():
+        want[r["source"], r["doc_id"]] += r["taken"]
+    for r in mixing.take_words(docs).collect():
+        assert all(w.startswith(r["source"] or "") for w in r["text"].split())
+        got[r["source"], r["doc_id"]] += len(r["text"].split())
+    assert got == +want
+
+
 # --- packing ---
 
 
