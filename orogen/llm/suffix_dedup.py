@@ -87,7 +87,7 @@ def chosen_suffixes(data: np.ndarray, starts: np.ndarray, length: int, q: int) -
     """For the strings of `length` bytes at starts (ascending) of data: runs that one suffix stands for.
 
     Returns the suffix, the first and the last string of each run, the suffix's q-gram bucket and the
-    bucket of the whole run's bytes.
+    bucket of the whole run's bytes, their number and the suffix's place in them.
     """
     buckets = Buckets(data, 2 * length)
     grams = buckets.level[q]
@@ -96,7 +96,10 @@ def chosen_suffixes(data: np.ndarray, starts: np.ndarray, length: int, q: int) -
     new = np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (starts[1:] != starts[:-1] + 1)])
     at = np.flatnonzero(new)
     low, high = starts[at], starts[np.concatenate([at[1:], [len(starts)]]) - 1]
-    return suffix[at], low, high, grams[suffix[at]], buckets.at(low, high - low + length)
+    size = high - low + length
+    # two blocks of one power of two cover runs of several sizes alike, so the size belongs to the bucket
+    place = (size.astype("u8") << np.uint64(20)) + (suffix[at] - low).astype("u8")
+    return suffix[at], low, high, grams[suffix[at]], _join(buckets.at(low, size), place)
 
 
 def _signed(x: np.ndarray) -> pa.Array:

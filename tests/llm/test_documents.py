@@ -401,6 +401,17 @@ def test_suffix_dedup_at_span_borders(spark):
         assert spans == {i: [] for i, _ in rows} | {2: [(130_900, 131_900)], 10: [(1, 1001)]}
 
 
+def test_suffix_dedup_of_runs_of_two_sizes(spark):
+    """Near copies that differ in the length of a stretch of dashes alone: equal end blocks are not equal runs."""
+    rows = []
+    for i in range(8):
+        a, b = ("".join(random.Random(i).choices("abcdefgh", k=80))[k : k + 40] for k in (0, 40))
+        rows += [(10 * i, a + "-" * 30 + b), (10 * i + 1, a + "-" * 33 + b), (10 * i + 2, a + "-" * 33 + b + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, length=80, q=16).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    check_repeats(rows, 80, got)
+
+
 def test_suffix_dedup_on_odd_tables(odd_docs, no_docs):
     out = suffix_dedup.without_repeats(odd_docs)
     rows = [r for r in out.select("doc_id", "text", "n_chars", "row").collect()]
