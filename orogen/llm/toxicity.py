@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Labelled rows are split into shards, each shard is learned by its own FTRL-proximal pass with
-per-coordinate rates and L1 sparsity, and the shards' sparse weights are averaged. What is broadcast
+per-coordinate rates and L1 sparsity, and the shards' sparse weights are averaged; a feature that
+a shard has not kept weighs 0 there, and none that any shard kept is dropped. What is broadcast
 for scoring is the list of non-zero weights, whose size the L1 term and the sample's bound limit.
 """
 
@@ -131,7 +132,7 @@ def train(sample: DataFrame, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, "i8"), np.empty(0, "f8")
     shards = max(1, min(SHARDS, n // SHARD_ROWS))
     found = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(learn, "at long, w double")
-    found = found.groupBy("at").agg((F.sum("w") / shards).alias("w"), F.count(F.lit(1)).alias("n")).where(f"n > 1 or {shards} = 1 or at = {dim}").orderBy("at").collect()
+    found = found.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").collect()
     at, w = np.array([r["at"] for r in found], "i8"), np.array([r["w"] for r in found], "f8")
     w[at == dim] += np.log((n - toxic + 1) / (toxic + 1))
     return at, w

@@ -57,6 +57,16 @@ def test_ftrl_is_sparse():
     assert toxicity.ftrl([], np.empty(0), dim=8)[0].size == 0
 
 
+def test_toxicity_keeps_what_one_shard_learned(spark, monkeypatch):
+    """A marker that one shard of two alone has seen is averaged with 0, not dropped."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    shard = [r[0] for r in spark.range(200).select(F.expr("pmod(xxhash64(3, id), 2)")).collect()]
+    rows = [(i, f"mild words number{i}" + (" vile" if i % 2 and shard[i] == 0 else " foul" if i % 2 else ""), i % 2) for i in range(200)]
+    at, w = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    weight, features = dict(zip(at.tolist(), w.tolist())), toxicity.Features()
+    assert all(weight.get(int(features(word)[0]), 0) > 0.1 for word in ("vile", "foul"))
+
+
 def test_forward_backward_by_enumeration():
     import itertools
 
