@@ -1,8 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Labelled rows are split into shards, each shard is learned by its own FTRL-proximal pass with
-per-coordinate rates and L1 sparsity, and the shards' sparse weights are averaged; a feature that
-a shard has not kept weighs 0 there, and none that any shard kept is dropped. What is broadcast
+FTRL-proximal passes with per-coordinate rates and L1 sparsity run over a sample of labelled rows in
+one task, in one order at every size; the sample's bound is the parameter max_rows. What is broadcast
 for scoring is the list of non-zero weights, whose size the L1 term and the sample's bound limit.
 """
 
@@ -23,10 +22,9 @@ from .common import documents, materialize, sliced
 DIM = 1 << 22
 #: Most labelled rows that are learned from; the smallest hashes of doc_id are taken.
 MAX_ROWS = 24_000
-#: Labelled rows that one shard has at least, before there is another; shards at most.
-SHARD_ROWS, SHARDS, EPOCHS = 8_000, 3, 5
+EPOCHS = 5
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.5
-#: Rows of a shard in which a feature must occur to be learned.
+#: Rows in which a feature must occur to be learned.
 LEAST = 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”‘’-_"
 CACHE = 150_000
@@ -123,17 +121,15 @@ def train(sample: DataFrame, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
         at, w = ftrl([np.asarray(x, "i4") for x in pdf["at"]], pdf["label"].to_numpy("f8"), dim)
-        return pd.DataFrame({"at": at, "w": w})
+        return pd.DataFrame({"at": [at.astype("i8").tobytes()], "w": [w.tobytes()]})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = materialize(sample.mapInPandas(hashed, f"doc_id {kind}, label int, at array<int>"), "toxic-features")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return np.empty(0, "i8"), np.empty(0, "f8")
-    shards = max(1, min(SHARDS, n // SHARD_ROWS))
-    found = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(learn, "at long, w double")
-    found = found.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").collect()
-    at, w = np.array([r["at"] for r in found], "i8"), np.array([r["w"] for r in found], "f8")
+    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "at binary, w binary").first()
+    at, w = np.frombuffer(found["at"], "i8"), np.frombuffer(found["w"], "f8").copy()
     w[at == dim] += np.log((n - toxic + 1) / (toxic + 1))
     return at, w
 
