@@ -130,33 +130,44 @@ class Chain:
         return np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at)
 
 
-def fit(counts: np.ndarray, bins: np.ndarray, labels: np.ndarray) -> Chain:
-    """Maximum likelihood by Adam; labels: one per line. Either label weighs the same in all."""
-    w, s = np.zeros((GROUPS, BINS)), np.zeros((2, 2))
-    chain = Chain(w, s)
+def gradients(chain: Chain, counts: np.ndarray, bins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood of labels (one per line) by weights and by steps; weight: of each line, and of the step into it."""
+    s = chain.step
     start = np.cumsum(counts) - counts
     inner = np.ones(len(labels), bool)
     inner[start] = False
     here = np.flatnonzero(inner)  # lines with one before them in their chain
-    share = max(labels.mean(), 1e-6)
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / len(labels)
     flat = bins.astype("i8") + np.arange(GROUPS)[None, :] * BINS
     was, now = labels[here - 1], labels[here]
+    e = chain.leaning(bins)
+    f, b = chain.messages(e, counts)
+    good = 1 / (1 + np.exp(-np.clip(f + b, -35, 35)))
+    g_line = (labels - good) * weight
+    g_w = np.bincount(flat.ravel(), np.repeat(g_line, GROUPS), minlength=GROUPS * BINS)
+    later = e[here] + b[here]
+    pair = np.stack([np.full(len(here), s[0, 0]), s[0, 1] + later, s[1, 0] + f[here - 1], s[1, 1] + f[here - 1] + later], axis=1)
+    pair = np.exp(pair - pair.max(axis=1, keepdims=True))
+    pair /= pair.sum(axis=1, keepdims=True)
+    seen = np.zeros_like(pair)
+    seen[np.arange(len(here)), (2 * was + now).astype("i8")] = 1
+    g_s = ((seen - pair) * weight[here][:, None]).sum(axis=0)
+    return g_w.reshape(GROUPS, BINS), g_s.reshape(2, 2)
+
+
+def fit(counts: np.ndarray, bins: np.ndarray, labels: np.ndarray) -> Chain:
+    """Maximum likelihood by Adam; labels: one per line. Either label weighs the same in all.
+
+    A longer document is several chains, so the steps are learned from all its neighbours but those at
+    every CHAIN-th line; scoring runs over whole documents.
+    """
+    w, s = np.zeros((GROUPS, BINS)), np.zeros((2, 2))
+    chain = Chain(w, s)
+    share = max(labels.mean(), 1e-6)
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / len(labels)
     moments = [np.zeros(GROUPS * BINS + 4) for _ in range(2)]
     for turn in range(1, STEPS + 1):
-        e = chain.leaning(bins)
-        f, b = chain.messages(e, counts)
-        good = 1 / (1 + np.exp(-np.clip(f + b, -35, 35)))
-        g_line = (labels - good) * weight
-        g_w = np.bincount(flat.ravel(), np.repeat(g_line, GROUPS), minlength=GROUPS * BINS)
-        later = e[here] + b[here]
-        pair = np.stack([np.full(len(here), s[0, 0]), s[0, 1] + later, s[1, 0] + f[here - 1], s[1, 1] + f[here - 1] + later], axis=1)
-        pair = np.exp(pair - pair.max(axis=1, keepdims=True))
-        pair /= pair.sum(axis=1, keepdims=True)
-        seen = np.zeros_like(pair)
-        seen[np.arange(len(here)), (2 * was + now).astype("i8")] = 1
-        g_s = ((seen - pair) * weight[here][:, None]).sum(axis=0)
-        g = np.concatenate([g_w - DECAY * w.ravel(), g_s - DECAY * s.ravel()])
+        g_w, g_s = gradients(chain, counts, bins, labels, weight)
+        g = np.concatenate([(g_w - DECAY * w).ravel(), (g_s - DECAY * s).ravel()])
         moments[0] += 0.1 * (g - moments[0])
         moments[1] += 0.01 * (g * g - moments[1])
         move = RATE * (moments[0] / (1 - 0.9**turn)) / (np.sqrt(moments[1] / (1 - 0.99**turn)) + 1e-9)
@@ -237,7 +248,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
             found = scores([t or "" for t in batch.column(text).to_pylist()], model)
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names with dots do not pass
+    out = docs.toDF(*names)
+    return out.mapInArrow(run, out.schema).toDF(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
