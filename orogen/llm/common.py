@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: A key is hot if it has more than one part in HOT of all rows; so fewer than HOT keys are.
+HOT = 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,7 +36,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more, so that scratch does not add up over the steps."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def hot_join(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with counted: one row per key, n: how many of the rows have that key.
+
+    total: the number of rows. Fewer than HOT keys can hold more than one part in HOT of them; those are
+    broadcast, so that the rows of a hot key stay where they are, and the other keys meet by shuffle.
+    Both ways give the same rows. Keys must not be null, but for a left join.
+    """
+    over = (F.col(n) * HOT > total) & (F.col(n) > HOT)  # a few rows are no burden, whatever their share
+    hot = materialize(counted.where(over), "hot")
+    if not hot.count():
+        discard(hot)
+        return rows.join(counted, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(~over), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def cells_for(rows: int, least: int = 256) -> int:
+    """Cells that number or sum rows in parallel: about 65,536 rows in one, so that windows do not grow with the table."""
+    return max(least, rows >> 16)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -53,25 +86,28 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     edges: columns a, b (long). Returns node, component (the smallest node reached) for every node
     that has an edge to another. Rows with a null end or a = b are ignored. Each round is two
-    aggregations and two joins over the edges; rounds grow with the logarithm of the longest path.
+    aggregations and two joins over the edges; rounds grow with the logarithm of the longest path. The
+    edges of a star's centre are not gathered in one task: its minimum is broadcast to them.
     """
     e = materialize(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
     )
-    seen = None
+    seen, n = None, F.count(F.lit(1)).alias("n")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, low, ["u"], 2 * e.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, label)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), n)
         small = (
-            large.join(low, "u")
+            hot_join(large, low, ["u"], large.count())
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.*")
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, label)
+        last, e = e, materialize(small, label)
+        discard(last, large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

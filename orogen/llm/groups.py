@@ -28,6 +28,27 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], item: str, b
     )
 
 
+def meeting_blocks(rows: DataFrame, sizes: DataFrame, key: str, item: str, marks: str, block: int) -> DataFrame:
+    """Like block_pairs, but a row is dealt only to the pairs with blocks in which some row shares one of its marks.
+
+    marks: a column of arrays; items are distinct. What is dealt is bounded by the pairs that share a mark,
+    however large a group is that chains of such pairs make.
+    """
+    own = rows.join(sizes, key).withColumn("nb_", F.ceil(F.col("m") / block).cast("int"))
+    own = own.withColumn("own_", F.pmod(F.xxhash64(F.lit(7), item), F.col("nb_")).cast("int"))
+    placed = own.where("nb_ > 1").select(key, item, "own_", F.explode(marks).alias("mark_"))
+    there = placed.select(key, "mark_", F.col("own_").alias("other_")).distinct()
+    meets = placed.join(there, [key, "mark_"]).select(item, "other_").distinct()
+    dealt = own.where("nb_ = 1").withColumn("other_", F.lit(0)).unionByName(own.where("nb_ > 1").join(meets, item))
+    return dealt.select(
+        *rows.columns,
+        F.least("own_", "other_").alias("bi"),
+        F.greatest("own_", "other_").alias("bj"),
+        (F.col("own_") <= F.col("other_")).alias("left"),
+        (F.col("own_") >= F.col("other_")).alias("right"),
+    )
+
+
 def over_groups(rows: DataFrame, keys: list[str], per_group: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, partitions: int | None = None) -> DataFrame:
     """Run per_group over each group's rows, streaming through sorted partitions (one Python call per batch, not per group)."""
     dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)

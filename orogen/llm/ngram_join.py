@@ -2,8 +2,9 @@
 
 Texts with the same n-gram set become one node. Each node's MinHash signature is cut into bands and
 nodes are shuffled on their band hashes; nodes that share a band hash are candidates. Candidate pairs
-are verified on full n-gram sets, block by block inside the groups that candidates form, so a node's
-set is sent once per block and not once per pair, and links are counted without a row for each.
+are verified on full n-gram sets, block by block inside the groups that candidates form: a node's set is
+sent to the blocks that hold a candidate of its own, not to every pair, and links are counted without a
+row for each.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, documents, materialize, sliced
-from .groups import block_pairs, linked, over_groups
+from .groups import linked, meeting_blocks, over_groups
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -162,7 +163,7 @@ def _judged(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recal
     texts = texts.select("of_key", "of_bytes", "node", "n", "bands", "grp", "text").dropDuplicates(["of_key", "of_bytes", "node"]).drop("of_key", "of_bytes")
     members = materialize(_with_sets(texts, n), "ngram-sets")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    dealt = block_pairs(members, sizes, ["grp"], "node", BLOCK)
+    dealt = meeting_blocks(members, sizes, "grp", "node", "bands", BLOCK)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame | None:
         a, b = np.flatnonzero(pdf["left"].to_numpy()), np.flatnonzero(pdf["right"].to_numpy())
@@ -220,7 +221,7 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     # classes may agree in class_id (all of their doc_ids null, or one doc_id with several texts), so each is known by its component
     pick = judged.where("kept and component is not null").groupBy("component").agg(F.min("row_key").alias("stay_")).select("stay_")
     stay = pick.unionByName(judged.where("component is null").select(F.col("row_key").alias("stay_"))).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     return keyed.join(stay, F.col("key") == F.col("stay_")).dropDuplicates(["key"]).select("row.*")
 
 
