@@ -8,16 +8,15 @@ slot, so a new version moves only the slots that it names.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import cells_for, documents, materialize, scratch_dir
 
 N_SLOTS = 4096
-#: Cells that number the rows of one shard in parallel.
-N_CELLS = 256
 
 
 @dataclass(frozen=True)
@@ -43,6 +42,14 @@ def load_map(spark: SparkSession, path: str, version: int) -> SlotMap:
     return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version stored in a folder; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(x.removeprefix("version=")) for x in names if x.startswith("version=")), default=None)
+
+
 def first_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
     return SlotMap(0, n_shards, tuple(s % n_shards for s in range(n_slots)))
 
@@ -87,38 +94,35 @@ def record_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def slots_of(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
-    """Adds virtual_slot. Copies of one text share a slot, unless they outweigh one shard's fair share.
-
-    Fewer than n_shards texts can be so heavy, so that list is a constant of bounded size; their
-    copies are spread over all slots by doc_id.
-    """
-    total = F.sum("size").alias("t")
-    all_bytes = records.agg(total).first()["t"] or 0
-    heavy = [r["text_key"] for r in records.groupBy("text_key").agg(total).where(F.col("t") * n_shards > all_bytes).limit(n_shards).collect()] if all_bytes else []
-    own = F.xxhash64("text_key", "size")
-    if heavy:
-        own = F.when(F.col("text_key").isin(heavy), F.xxhash64("text_key", "doc_id")).otherwise(own)
-    return records.withColumn("virtual_slot", F.pmod(own, F.lit(n_slots)))
+def slots_of(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds virtual_slot, which the text alone decides: equal texts share a slot and so a shard."""
+    return records.withColumn("virtual_slot", F.pmod(F.xxhash64("text_key", "size"), F.lit(n_slots)))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, old: SlotMap | None = None, map_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, map_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Put every row of docs into one of n_shards shards so that bytes are near equal.
 
     Returns per row: doc_id, size, text_crc32, law ('bytes'), shard, slot (the row's place in its
     shard, gapless from 0), grown_shard (null under this law), virtual_slot, map_version. Repeated
     rows each keep their own place. Null doc_id and null text are hashed like values; an empty table
-    gives no rows; other columns are not read. One row larger than a fair share stays whole.
-    map_path: folder in which the new version of the map is stored.
+    gives no rows; other columns are not read. Equal texts, and one row larger than a fair share, stay
+    together, so the shard that holds a heavier group than that is larger than the others, which are near
+    equal among themselves. map_path: the folder of the map's versions; the newest one is edited and stored
+    as the next. Without it, a folder of scratch begins with the even map as version 0.
     """
     spark = docs.sparkSession
+    map_path = map_path or f"{scratch_dir(spark)}/shard-map-{uuid.uuid4().hex}"
+    version = latest_version(spark, map_path)
+    if version is None:
+        version = 0
+        first_map(n_shards, n_slots).save(spark, map_path)
+    old = load_map(spark, map_path, version)
     records = materialize(record_digests(docs, doc_id, text), "shard-records")
-    placed = slots_of(records, n_shards, n_slots)
+    placed = slots_of(records, len(old.shards))
     per_slot = {r["virtual_slot"]: r["b"] for r in placed.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
-    new = rebalance(old or first_map(n_shards, n_slots), per_slot, n_shards)
-    if map_path:
-        new.save(spark, map_path)
-    cell = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(N_CELLS))
+    rebalance(old, per_slot, n_shards).save(spark, map_path)
+    new = load_map(spark, map_path, version + 1)
+    cell = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(cells_for(records.count())))
     keys = ["shard", "cell", "doc_id", "size", "text_crc32", "virtual_slot"]
     same = placed.withColumn("shard", new.column(F.col("virtual_slot"))).withColumn("cell", cell).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size", "virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
