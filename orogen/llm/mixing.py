@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import cells_for, documents, materialize
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
-#: Hex digits of the key that name its range: 16^RANGE_DIGITS equal ranges of a uniform key.
-RANGE_DIGITS = 2
 
 
 def source_targets(records: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -45,10 +43,12 @@ def source_targets(records: DataFrame, share: float = 1.0, weights: tuple[int, .
 
 
 def mix_records(records: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """records: doc_id, source, size. Adds source_size, target and taken, one row out per row in."""
+    """records: doc_id, source, size, materialized. Adds source_size, target and taken, one row out per row in."""
     targets = source_targets(records, share, weights, max_epochs)
+    # hex digits of the key that name its range: 16^digits equal ranges of a uniform key
+    digits = len(f"{cells_for(records.count()) - 1:x}")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = records.withColumn("key_", key).withColumn("range_", F.substring("key_", 1, RANGE_DIGITS))
+    keyed = records.withColumn("key_", key).withColumn("range_", F.substring("key_", 1, digits))
     same = keyed.groupBy("source", "range_", "key_", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
     inside = Window.partitionBy("source", "range_").orderBy("key_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     along = same.withColumn("in_range", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
@@ -102,7 +102,7 @@ def take_words(docs: DataFrame, **options) -> DataFrame:
     plan = materialize(mix_documents(docs, **options), "mix-plan").where("taken > 0")
     rank = Window.partitionBy("source", "doc_id", "size").orderBy(F.desc("taken"))
     plan = plan.withColumn("turn", F.row_number().over(rank)).select(F.col("source").alias("of_source"), F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), "turn", "taken")
-    given = docs.select(F.col("source").cast("string").alias("in_source"), "doc_id", size.alias("words"), F.struct(*docs.columns).alias("row"))
+    given = docs.select(F.col("source").cast("string").alias("in_source"), "doc_id", size.alias("words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     given = given.withColumn("place", F.row_number().over(Window.partitionBy("in_source", "doc_id", "words").orderBy(F.xxhash64("row.text"))))
     same = given["in_source"].eqNullSafe(plan["of_source"]) & given["doc_id"].eqNullSafe(plan["of_id"])
     out = given.join(plan, same & (given["words"] == plan["of_size"]) & (given["place"] == plan["turn"]))

@@ -16,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, sliced
+from .common import cells_for, documents, materialize, sliced
 from .word_bpe import text_ids
 
 WINDOW = 2048
 END_ID = 1
 #: Documents that are turned into ids at once.
 SLICE = 1024
-#: Cells that number the pieces of one length in parallel.
-N_CELLS = 256
 
 
 def default_tokenizer() -> str:
@@ -134,9 +132,12 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             offset += length * pattern[length]
         base += repeats
     plan = spark.createDataFrame(rows, "l_ long, first_ long, end_ long, times_ long, base_ long, at_ long")
-    keys = [c for c in pieces.columns if c != "length"]
-    same = pieces.withColumn("cell_", F.pmod(F.xxhash64(*[c for c in ("doc_id", "start") if c in keys]), F.lit(N_CELLS))).groupBy("length", "cell_", *keys).agg(F.count(F.lit(1)).alias("n_"))
-    order = [c for c in keys if c != "ids"]
+    keys = [c for c in pieces.columns if c not in ("length", "ids")]
+    cell = F.pmod(F.xxhash64(*[c for c in ("doc_id", "start") if c in keys]), F.lit(cells_for(sum(histogram.values()))))
+    # ids are told apart by their hash, so that they travel once and are compared nowhere
+    ids, mark = ([F.first("ids").alias("ids")], [F.xxhash64("ids").alias("ids_hash_")]) if "ids" in pieces.columns else ([], [])
+    same = pieces.withColumn("cell_", cell).groupBy("length", "cell_", *keys, *mark).agg(F.count(F.lit(1)).alias("n_"), *ids)
+    order = keys
     inside = Window.partitionBy("length", "cell_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cells = same.groupBy("length", "cell_").agg(F.sum("n_").alias("n_"))
     upto = Window.partitionBy("length").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
