@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, hot_join, materialize
 
 #: (verdict, expression); fixed by the task.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -41,31 +41,30 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     subdomains if the path starts with the rule's path; the longest rule wins, and of two equal ones
     'block'. No rule: rule is null and the verdict is the default. Null or malformed URLs have an
     empty host and path, which only an equal rule can fit. Columns of pages named like the added ones
-    are replaced. Path prefixes are cut only at lengths that some rule has; the lengths are collected
-    (at most 2048 distinct ones may occur, else it fails rather than drop rules).
+    are replaced. Path prefixes are cut only at lengths that some rule has, of which there are at most as
+    many as the longest rule has characters.
     """
-    lengths = [r["n"] for r in rules.where("rule is not null").select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().limit(2049).collect()]
-    if len(lengths) > 2048:
-        raise ValueError("rules have paths of more than 2048 different lengths")
+    sizes = rules.where("rule is not null").select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct()
+    lengths = sorted(r["n"] for r in sizes.collect())
     host, path = split_url(F.col(url))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    most = max(lengths, default=0)
-    given = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("short", F.substring("path", 1, most))
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    given = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("short", F.substring("path", 1, max(lengths, default=0)))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    cuts = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>") if lengths else F.array().cast("array<int>")
     prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("short")), lambda n: F.substring(F.col("short"), F.lit(1), n))
-    distinct = given.select("host", "short").distinct()
+    counted = materialize(given.groupBy("host", "short").agg(F.count(F.lit(1)).alias("n")), "url-keys")
     tried = (
-        distinct.withColumn("suffix", F.explode(suffixes))
+        counted.withColumn("suffix", F.explode(suffixes))
         .withColumn("cut", F.explode(prefixes))
         .withColumn("expression", F.concat("suffix", "cut"))
-        .select("host", "short", *_digest(F.col("expression")))
+        .select("host", "short", "n", *_digest(F.col("expression")))
     )
     listed = rules.where("rule is not null").select(F.col("rule"), F.col("verdict"), *_digest(F.col("rule")))
     hits = tried.join(listed, "prefix").where(tried["digest"] == listed["digest"])
-    best = hits.groupBy("host", "short").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule"))).alias("best"))
-    out = given.join(best, ["host", "short"], "left")
+    best = hits.groupBy("host", "short").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule"))).alias("best"), F.max("n").alias("n"))
+    # hosts with many of the pages get their rule by broadcast
+    out = hot_join(given, materialize(best, "url-best"), ["host", "short"], counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], how="left")
     return out.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
