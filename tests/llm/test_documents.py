@@ -57,14 +57,73 @@ def test_ftrl_is_sparse():
     assert toxicity.ftrl([], np.empty(0), dim=8)[0].size == 0
 
 
-def test_toxicity_keeps_what_one_shard_learned(spark, monkeypatch):
-    """A marker that one shard of two alone has seen is averaged with 0, not dropped."""
-    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
-    shard = [r[0] for r in spark.range(200).select(F.expr("pmod(xxhash64(3, id), 2)")).collect()]
-    rows = [(i, f"mild words number{i}" + (" vile" if i % 2 and shard[i] == 0 else " foul" if i % 2 else ""), i % 2) for i in range(200)]
-    at, w = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-    weight, features = dict(zip(at.tolist(), w.tolist())), toxicity.Features()
-    assert all(weight.get(int(features(word)[0]), 0) > 0.1 for word in ("vile", "foul"))
+def test_ftrl_by_a_plain_loop():
+    """The vectorised passes against FTRL-proximal written out one coordinate at a time."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 60).astype(float)
+    rows = [np.unique(np.concatenate([rng.integers(8, 40, 6), [1 if y else 2]])).astype("i4") for y in labels]
+    dim, alpha, beta, l1, l2 = 64, 0.8, 1.0, 0.3, 0.5
+    at, w = toxicity.ftrl(rows, labels, dim, 3, alpha, beta, l1, l2)
+    times = collections.Counter(int(c) for r in rows for c in r)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(c):
+        pull = 0.0 if c == dim else l1
+        if abs(z[c]) <= pull:
+            return 0.0
+        return -(z[c] - math.copysign(pull, z[c])) / ((beta + math.sqrt(n[c])) / alpha + l2)
+
+    order = np.random.default_rng(1)
+    for _ in range(3):
+        for i in order.permutation(len(rows)):
+            own = [int(c) for c in rows[i] if times[int(c)] >= toxicity.LEAST] + [dim]
+            now = {c: weight(c) for c in own}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - labels[i]
+            for c in own:
+                sigma = (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / alpha
+                z[c] += g - sigma * now[c]
+                n[c] += g * g
+    want = {c: weight(c) for c in z if weight(c) != 0}
+    assert set(at.tolist()) == set(want) and np.allclose(w, [want[c] for c in at.tolist()])
+
+
+def test_fit_follows_the_gradient_of_the_likelihood():
+    """Gradients of weights and steps against differences of the log-likelihood, by enumeration."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    counts = np.array([4, 1, 3])
+    bins = rng.integers(0, line_quality.BINS, (8, line_quality.GROUPS))
+    labels = np.array([1, 1, 1, 1, 0, 1, 0, 0.0])
+    weight = np.ones(8)
+    chain = line_quality.Chain(rng.normal(size=(line_quality.GROUPS, line_quality.BINS)), rng.normal(size=(2, 2)))
+
+    def likelihood():
+        total, at, e = 0.0, 0, chain.leaning(bins)
+        for size in counts:
+            def value(ys, at=at):
+                return sum(e[at + t] * y for t, y in enumerate(ys)) + sum(chain.step[int(a), int(b)] for a, b in itertools.pairwise(ys))
+
+            total += value(labels[at : at + size]) - np.log(sum(np.exp(value(ys)) for ys in itertools.product((0, 1), repeat=size)))
+            at += size
+        return total
+
+    g_w, g_s = line_quality.gradients(chain, counts, bins, labels, weight)
+    for table, found in ((chain.w, g_w), (chain.step, g_s)):
+        for k in range(0, table.size, 7) if table.size > 4 else range(4):
+            old = table.flat[k]
+            sides = []
+            for move in (1e-5, -1e-5):
+                table.flat[k] = old + move
+                sides.append(likelihood())
+            table.flat[k] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - found.flat[k]) < 1e-4
 
 
 def test_forward_backward_by_enumeration():
@@ -113,6 +172,17 @@ def test_sharding(spark, odd_docs, no_docs, tmp_path):
     stored = sharding.load_map(spark, str(tmp_path), 1)
     assert stored.n_shards == 3 and all(stored.shards[r.virtual_slot] == r.shard for r in rows[["virtual_slot", "shard"]].itertuples())
     assert sharding.shard_documents(no_docs).count() == 0
+    again = sharding.shard_documents(odd_docs, n_shards=4, map_path=str(tmp_path)).toPandas()
+    assert set(again.map_version) == {2} and sharding.latest_version(spark, str(tmp_path)) == 2 and set(again.shard) <= set(range(4))
+
+
+def test_equal_texts_share_a_shard(spark):
+    """However heavy a group of equal texts is, it stays whole; the other shards stay near equal."""
+    made = [(i, "same text " * 20) for i in range(300)] + [(1000 + i, f"text {i} " * 20) for i in range(3000)] + [(5000, None), (5001, "")]
+    got = sharding.shard_documents(spark.createDataFrame(made, "doc_id long, text string"), n_shards=16).toPandas().merge(__import__("pandas").DataFrame(made, columns=["doc_id", "text"]), on="doc_id")
+    assert got.fillna("").groupby("text")["shard"].nunique().max() == 1 and len(got) == len(made)
+    loads = sorted(got.groupby("shard")["size"].sum())
+    assert loads[-2] <= 1.05 * loads[0] and all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
 
 
 def test_rebalance_moves_little():
@@ -422,6 +492,70 @@ def test_suffix_dedup_of_runs_of_two_sizes(spark):
     check_repeats(rows, 80, got)
 
 
+def brute_words(rows, length):
+    """Per row: which words are covered by a string of `length` words that also starts elsewhere."""
+    words = [(t or "").encode().split() for _, t in rows]
+    times = collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if times[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(gone)
+    return words, out
+
+
+def planted(rng):
+    """Documents of their own words, some with passages that others have too: of 51 to 80 words, or of 30 to 50."""
+    word = lambda: "".join(rng.choices("abcdefgé", k=rng.randrange(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages, short = [prose(n) for n in (51, 52, 60, 80)], [prose(n) for n in (30, 50)]
+    rows = [(i, prose(rng.randrange(20, 200))) for i in range(40)]
+    rows += [(100 + i, "\n".join([prose(rng.randrange(30)), passages[i % 4], prose(rng.randrange(1, 30))])) for i in range(24)]
+    rows += [(200 + i, prose(40) + " \t" + short[i % 2] + "  " + prose(40)) for i in range(12)]
+    return rows + [(300, passages[0] + " x " + passages[0]), (301, None), (302, ""), (303, " \n"), (304, "same " * 90)], passages, short
+
+
+def test_repeated_passages_of_words(spark):
+    rows, _, _ = planted(random.Random(21))
+    words, want = brute_words(rows, 51)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 51, 8, "word").collect()}
+    for (i, text), w, gone in zip(rows, words, want):
+        assert got[i]["kept_text"].encode().split() == [x for x, g in zip(w, gone) if not g], i
+        assert got[i]["n_spans"] == sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        assert any(gone) or got[i]["kept_text"] == (text or "")
+
+
+def test_pipeline_takes_planted_passages_out(spark):
+    """Passages of over 50 words go wherever they stand; documents without one stay as they are."""
+    import corpus_pipeline
+
+    rows, passages, short = planted(random.Random(22))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["repeats"](spark, docs, SF).collect()}
+    assert not any(p in t for p in passages for t in got.values())
+    assert all(got[i] == t for i, t in rows if t and i < 100) and all(got[i] == t for i, t in rows if 200 <= i < 300)
+
+
+def test_op7_counts_passages(spark):
+    rows = list(texts(spark).items())
+    words, want = brute_words(rows, 51)
+    got = {r["doc_id"]: r for r in queries.queries()["op7_suffix_array_dedup"](spark, SF).collect()}
+    for (i, text), gone in zip(rows, want):
+        first, end = suffix_dedup.word_edges(text.encode())
+        edges = [k for k in range(len(gone) + 1) if (k < len(gone) and gone[k]) != (k > 0 and gone[k - 1])]
+        assert (got[i]["n_passages"], got[i]["n_passage_bytes"]) == (len(edges) // 2, sum(int(end[b - 1] - first[a]) for a, b in zip(edges[::2], edges[1::2])))
+
+
+def test_column_names_with_dots(spark):
+    """Names with dots and quotes pass through every operator that keeps the columns of its table."""
+    docs = spark.createDataFrame([(i, "some words in a row " * 30 + str(i), "s", i, "x") for i in range(4)], "doc_id long, text string, source string, `a.b` int, `row.text` string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out in (line_quality.good_documents(docs, labels), ngram_join.first_of_each(docs), suffix_dedup.without_repeats(docs), mixing.take_words(docs)):
+        assert out.columns == docs.columns and {r["row.text"] for r in out.collect()} == {"x"}
+
+
 def test_suffix_dedup_on_odd_tables(odd_docs, no_docs):
     out = suffix_dedup.without_repeats(odd_docs)
     rows = [r for r in out.select("doc_id", "text", "n_chars", "row").collect()]
