@@ -19,8 +19,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes are taken out of the texts."""
-    return suffix_dedup.without_repeats(docs)
+    """Passages of over 50 words that occur anywhere else, too, are taken out of the texts."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.WORDS, suffix_dedup.WORD_Q, "word")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
-    return packing.pack_documents(docs)
+    """Token pieces, their ids included, with their places in sequences of 2048."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mix", mix), ("pack", pack)]
