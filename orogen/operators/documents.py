@@ -68,9 +68,15 @@ _RAW = (
 
 
 def normalize_primitives(raw: DataFrame) -> DataFrame:
-    """json (an authoring document) to its primitives, one row each with ord: unknown types and anchors that are no points go, numbers are read leniently."""
+    """json (an authoring document) to its primitives, one row each with ord, its place in its own document.
+
+    Unknown types and anchors that are no points go, numbers are read leniently. Other columns of raw, such
+    as a document's id, come first in each row.
+    """
+    others = [c for c in raw.columns if c != "json"]
     listed = F.from_json(F.get_json_object("json", "$.primitives"), f"array<struct<{_RAW.replace(' string', ':string').replace(' array', ':array')}>>", {"mode": "PERMISSIVE"})
-    rows = raw.select(F.posexplode(listed).alias("at", "p")).where(F.col("p.type").isin(shapes.AREA, shapes.SPLINE))
+    known = F.filter(listed, lambda p: p["type"].isin(shapes.AREA, shapes.SPLINE))
+    rows = raw.select(*[F.col(f"`{c}`") for c in others], F.posexplode(known).alias("ord", "p"))
     p = F.col("p")
     text = lambda c: F.when(F.length(c) > 0, c)
     point = lambda v: finite_or(v, float("nan"))
@@ -79,7 +85,7 @@ def normalize_primitives(raw: DataFrame) -> DataFrame:
     area = p["type"] == shapes.AREA
     zero = F.lit(0.0)
     return rows.select(
-        F.coalesce(text(p["id"]), F.uuid()).alias("id"), (F.row_number().over(_by_place()) - 1).alias("ord"), p["type"].alias("type"),
+        *[F.col(f"`{c}`") for c in others], F.coalesce(text(p["id"]), F.uuid()).alias("id"), "ord", p["type"].alias("type"),
         F.when(F.length(F.trim(p["name"])) > 0, p["name"]).otherwise(NAME).alias("name"), (F.coalesce(p["enabled"], F.lit("true")) != "false").alias("enabled"),
         p["createdAt"].alias("createdAt"), p["updatedAt"].alias("updatedAt"),
         F.when(area, F.when(p["mode"].isin(*MODES), p["mode"]).otherwise("land")).alias("mode"), F.when(area, finite_or(p["elevation"], 0)).alias("elevation"),
@@ -90,12 +96,6 @@ def normalize_primitives(raw: DataFrame) -> DataFrame:
     )
 
 
-def _by_place():
-    from pyspark.sql import Window
-
-    return Window.orderBy("at")
-
-
 def normalize_document(value, world_id: str) -> dict:
     """A whole document from any JSON value, for the driver: its graphs, the missing presets behind them, and a valid bake record or none."""
     value = value if isinstance(value, dict) else {}
