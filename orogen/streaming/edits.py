@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..operators.pyramid import rebuild_dirty
 from ..sources.store import Store
 
@@ -92,12 +93,20 @@ def keep_pyramid(dirty: DataFrame, store: Store, project: str, tile_size: int, t
     from ..sources.codecs import pack_tiles, unpack_tiles
 
     def rebuild(batch: DataFrame, _: int) -> None:
-        stored = unpack_tiles(store.read_tiles(project).select("d", "y", "x", "data"), tile_size)
-        fresh = pack_tiles(rebuild_dirty(stored, batch.distinct(), tile_size, tiles_per_side), tile_size)
-        done = store.read_tiles(project).select("d", "y", "x", "data").join(fresh.select("d", "y"), ["d", "y"], "left_semi")
+        read = batch.sparkSession.read.parquet
+        above = K.ancestors(batch.distinct(), tiles_per_side)
+        # only the children of what is rebuilt are read and unpacked, from the folders of their rows
+        below = above.select(F.explode(K.children(F.col("x"), F.col("y"), F.col("d"))).alias("k")).select("k.d", "k.y", "k.x")
+        keys = below.select(F.col("d").alias("part_d"), F.col("y").alias("part_y"), "x").distinct()
+        stored = store.read_tiles(project).join(keys, ["part_d", "part_y", "x"], "left_semi").select("d", "y", "x", "data")
+        fresh = pack_tiles(rebuild_dirty(unpack_tiles(stored, tile_size), batch.distinct(), tile_size, tiles_per_side), tile_size)
+        fresh.write.mode("overwrite").parquet(f"{store.at(project)}-fresh")
+        fresh = read(f"{store.at(project)}-fresh")
+        rows = above.select(F.col("d").alias("part_d"), F.col("y").alias("part_y")).distinct()
+        done = store.read_tiles(project).join(rows, ["part_d", "part_y"], "left_semi").select("d", "y", "x", "data")
         done = done.join(fresh.select("d", "y", "x"), ["d", "y", "x"], "left_anti").unionByName(fresh)
         staged = f"{store.at(project)}-staged"
         done.write.mode("overwrite").parquet(staged)  # the folders that are replaced are read until here
-        store.write_tiles(project, batch.sparkSession.read.parquet(staged))
+        store.write_tiles(project, read(staged))
 
     return dirty.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
