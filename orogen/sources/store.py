@@ -39,7 +39,7 @@ class _Fs:
 class TileFiles(DataSource):
     """Writes rows (path, data) as one file each below `root`: df.write.format('tile_files').option('root', ...).
 
-    `root` must be mounted on every executor, as on a shared volume; on object stores keep the Parquet form.
+    `root` is a URI of any file system that Arrow opens (file, hdfs, s3, gs), or a path that executors share.
     """
 
     @classmethod
@@ -52,18 +52,21 @@ class TileFiles(DataSource):
 
 class _TileWriter(DataSourceWriter):
     def __init__(self, root: str):
-        self.root = root.removeprefix("file://")
+        self.root = root
 
     def write(self, rows):
-        import os
+        import uuid
 
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(self.root)
         for row in rows:
-            path = f"{self.root}/{row['path']}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.part-{os.getpid()}"
-            with open(part, "wb") as f:
-                f.write(bytes(row["data"]))
-            os.replace(part, path)  # a repeated task leaves whole files only
+            path = f"{base}/{row['path']}"
+            files.create_dir(path.rpartition("/")[0], recursive=True)
+            part = f"{path}.part-{uuid.uuid4().hex}"
+            with files.open_output_stream(part) as out:
+                out.write(bytes(row["data"]))
+            files.move(part, path)  # a repeated task leaves whole files only
         return WriterCommitMessage()
 
 
