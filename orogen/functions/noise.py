@@ -70,6 +70,10 @@ def simplex_column(seed: int, x: Column, y: Column) -> Column:
     return at(x.cast("double"), y.cast("double"))
 
 
+# Fixed value: from one octave's seed to the next one's.
+OCTAVE_SEED = 1013
+
+
 def fractal_column(seed: int, x: Column, y: Column, octaves: int, frequency: float, lacunarity: float, gain: float, skew: tuple[float, float], offset: tuple[float, float], ridged: bool) -> Column:
     """The weighted mean of an fBM's octaves, all in one UDF call so that points cross to Python once."""
 
@@ -78,7 +82,7 @@ def fractal_column(seed: int, x: Column, y: Column, octaves: int, frequency: flo
         px, py = a.to_numpy("f8", na_value=np.nan) + offset[0], b.to_numpy("f8", na_value=np.nan) + offset[1]
         total, weight, f, w = np.zeros(len(px)), 0.0, frequency, 1.0
         for k in range(octaves):
-            n = simplex2(seed + 1013 * k, px * f / skew[0], py * f / skew[1])
+            n = simplex2(seed + OCTAVE_SEED * k, px * f / skew[0], py * f / skew[1])
             total += (1 - np.abs(n) if ridged else n * 0.5 + 0.5) * w
             weight, w, f = weight + w, w * gain, f * lacunarity
         return pd.Series(total / (weight or 1.0))

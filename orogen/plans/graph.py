@@ -128,6 +128,15 @@ def delete(graph: dict, node_id: str | None = None, edge_id: str | None = None)
     return graph | {"nodes": [n for n in graph["nodes"] if n["id"] != node_id], "edges": [e for e in graph["edges"] if node_id not in (e["from"]["nodeId"], e["to"]["nodeId"])]}
 
 
+def seed_slots(graphs: list[dict]) -> dict[int, int]:
+    """Every seed that the graphs' noise nodes draw from, one per octave, numbered from 0 in ascending order."""
+    seeds = set()
+    for node in (n for g in graphs for n in g["nodes"] if n["type"] in ("simplex2d", "fbm2d", "ridged2d")):
+        octaves = 1 if node["type"] == "simplex2d" else min(12, max(1, math.trunc(_number(node["params"].get("octaves"), 5))))
+        seeds |= {math.trunc(_number(node["params"].get("seed"), 1)) + noise.OCTAVE_SEED * i for i in range(octaves)}
+    return {seed: slot for slot, seed in enumerate(sorted(seeds))}
+
+
 def search_nodes(query: str) -> list[str]:
     """Node types whose label, category or type holds the text, letters' case aside; the output node is not offered."""
     return [t for t, n in NODES.items() if t != "output" and query.strip().lower() in f"{n[0]} {n[1]} {t}".lower()]
