@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import documents, shapes, terrain
+from .queries import documents, shapes, stores, terrain
 
-MODULES = (terrain, shapes, documents)
+MODULES = (terrain, shapes, documents, stores)
 
 
 def queries() -> dict:
