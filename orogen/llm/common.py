@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 #: A key is hot if it has more than one part in HOT of all rows; so fewer than HOT keys are.
 HOT = 256
+#: Rows up to which a side that has at most one of them a key is broadcast whole.
+SMALL = 1 << 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,15 +54,18 @@ def discard(*tables: DataFrame) -> None:
 def hot_join(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with counted: one row per key, n: how many of the rows have that key.
 
-    total: the number of rows. Fewer than HOT keys can hold more than one part in HOT of them; those are
-    broadcast, so that the rows of a hot key stay where they are, and the other keys meet by shuffle.
-    Both ways give the same rows. Keys must not be null, but for a left join.
+    total: the number of rows, or more. counted has no more, so up to SMALL it is broadcast. Beyond that, fewer than
+    HOT keys can hold more than one part in HOT of the rows; those are broadcast, so that the rows of a hot
+    key stay where they are, and the other keys meet by shuffle. All ways give the same rows. Keys must not
+    be null, but for a left join.
     """
+    if total <= SMALL:
+        return rows.join(F.broadcast(counted), keys, how)
     over = (F.col(n) * HOT > total) & (F.col(n) > HOT)  # a few rows are no burden, whatever their share
-    hot = materialize(counted.where(over), "hot")
-    if not hot.count():
-        discard(hot)
+    found = counted.where(over).collect()  # fewer than HOT rows
+    if not found:
         return rows.join(counted, keys, how)
+    hot = rows.sparkSession.createDataFrame(found, counted.schema)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(~over), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
@@ -86,18 +91,25 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     edges: columns a, b (long). Returns node, component (the smallest node reached) for every node
     that has an edge to another. Rows with a null end or a = b are ignored. Each round is two
-    aggregations and two joins over the edges; rounds grow with the logarithm of the longest path. The
-    edges of a star's centre are not gathered in one task: its minimum is broadcast to them.
+    aggregations and two joins over the edges; rounds grow with the logarithm of the longest path, and the
+    last is the one that leaves stars alone. The edges of a star's centre are not gathered in one task: its
+    minimum is broadcast to them.
     """
     e = materialize(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
     )
-    seen, n = None, F.count(F.lit(1)).alias("n")
+    n = F.count(F.lit(1)).alias("n")
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
-        large = hot_join(both, low, ["u"], 2 * e.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, label)
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        low = e.unionByName(turned).groupBy("u").agg(F.min("v").alias("m"), n, F.count_if(F.col("v") < F.col("u")).alias("lower"))
+        low = materialize(low, label)
+        # in a star the centre has no lower neighbour, and the others have no neighbour but the centre
+        if not low.agg(F.max((F.col("lower") > 0) & (F.col("n") > 1))).first()[0]:
+            discard(low)
+            break
+        large = hot_join(turned, low.select("u", F.least("u", "m").alias("m"), "n"), ["u"], 2 * e.count())
+        large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        discard(low, e)
         low = large.groupBy("u").agg(F.min("v").alias("m"), n)
         small = (
             hot_join(large, low, ["u"], large.count())
@@ -106,11 +118,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             .where("u <> v")
             .distinct()
         )
-        last, e = e, materialize(small, label)
-        discard(last, large)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        e = materialize(small, label)
+        discard(large)
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

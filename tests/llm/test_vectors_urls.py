@@ -140,6 +140,19 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_each_way_to_join(spark, monkeypatch):
+    """A hot centre, chains and chance edges give the same components whether sides are small, hot or neither."""
+    rng = np.random.default_rng(2)
+    edges = [(9000, int(x)) for x in range(5000, 6200)] + [(i + 1, i) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(100, 700, (400, 2))]
+    table, found = spark.createDataFrame(edges, "a long, b long"), []
+    for small, hot in ((1 << 16, 256), (0, 4), (0, 256)):
+        monkeypatch.setattr(common, "SMALL", small)
+        monkeypatch.setattr(common, "HOT", hot)
+        found.append({r["node"]: r["component"] for r in common.connected_components(table).collect()})
+    assert found[0] == found[1] == found[2]
+    assert {found[0][x] for x in [9000, *range(5000, 6200)]} == {5000} and {found[0][x] for x in range(61)} == {0}
+
+
 def test_pipeline(spark, odd_docs, no_docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_duplicates", "repeats", "mix", "pack"]
