@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_join, materialize
+
 
 def block_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], item: str, block: int) -> DataFrame:
     """Deal each group of rows into blocks of about `block` items, and each row to every pair with its block.
@@ -31,14 +33,16 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], item: str, b
 def meeting_blocks(rows: DataFrame, sizes: DataFrame, key: str, item: str, marks: str, block: int) -> DataFrame:
     """Like block_pairs, but a row is dealt only to the pairs with blocks in which some row shares one of its marks.
 
-    marks: a column of arrays; items are distinct. What is dealt is bounded by the pairs that share a mark,
-    however large a group is that chains of such pairs make.
+    rows: materialized; marks: a column of arrays; items are distinct. What is dealt is bounded by the pairs
+    that share a mark, however large a group is that chains of such pairs make. The blocks that hold a mark
+    travel as one sorted array, so a row meets one record for each of its marks, not one for each block.
     """
-    own = rows.join(sizes, key).withColumn("nb_", F.ceil(F.col("m") / block).cast("int"))
+    own = hot_join(rows, sizes, [key], rows.count(), "m").withColumn("nb_", F.ceil(F.col("m") / block).cast("int"))
     own = own.withColumn("own_", F.pmod(F.xxhash64(F.lit(7), item), F.col("nb_")).cast("int"))
-    placed = own.where("nb_ > 1").select(key, item, "own_", F.explode(marks).alias("mark_"))
-    there = placed.select(key, "mark_", F.col("own_").alias("other_")).distinct()
-    meets = placed.join(there, [key, "mark_"]).select(item, "other_").distinct()
+    placed = materialize(own.where("nb_ > 1").select(key, item, "own_", F.explode(marks).alias("mark_")), "marks")
+    there = placed.groupBy(key, "mark_").agg(F.array_sort(F.collect_set("own_")).alias("others_"), F.count(F.lit(1)).alias("n_"))
+    met = hot_join(placed, there, [key, "mark_"], placed.count(), "n_").groupBy(item).agg(F.collect_set("others_").alias("others_"))
+    meets = met.select(item, F.explode(F.array_distinct(F.flatten("others_"))).alias("other_"))
     dealt = own.where("nb_ = 1").withColumn("other_", F.lit(0)).unionByName(own.where("nb_ > 1").join(meets, item))
     return dealt.select(
         *rows.columns,
