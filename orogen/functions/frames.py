@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +24,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def by_place(points: DataFrame, work: Callable[[DataFrame], DataFrame], how: str = "inner") -> DataFrame:
+    """work's rows for points (id, x, z), with work done once for all points that lie at one place.
+
+    work gets the distinct places (id, x, z; id is the place itself) and returns rows with their id; each point's
+    row gets those of its place. The join by place is a plain shuffle join, so a place of very many points can be split.
+    """
+    places = points.select("x", "z").distinct().select(F.struct("x", "z").alias("id"), "x", "z")
+    found = work(places)
+    found = found.select("id.x", "id.z", *[c for c in found.columns if c not in ("id", "x", "z")])
+    return points.select("id", "x", "z").join(found, ["x", "z"], how).drop("x", "z")

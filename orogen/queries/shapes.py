@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import once
+from ..functions.frames import by_place, once, spread
 from ..operators import bake as B
 from ..operators import editing as E
 from ..operators import pyramid as P
@@ -16,20 +16,25 @@ from .inputs import POINTS, SHAPES, WORLD, points, primitives, table, weights_sq
 THRESHOLD = E.hit_threshold(WORLD)
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points beside the prepared primitives whose box holds them, met on grid cells."""
-    return E.nearby(points(spark, sf_dir), G.prepare(primitives(spark, sf_dir)).withColumnRenamed("id", "primitive"), 50.0).where(G.holds(F.col("x"), F.col("z")))
+def _near(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Places beside the prepared primitives whose box holds them, met on grid cells."""
+    return E.nearby(places, G.prepare(spread(rows, "id")).withColumnRenamed("id", "primitive"), 50.0).where(G.holds(F.col("x"), F.col("z")))
 
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir).where(F.col("type") == G.AREA).where(G.inside(F.col("x"), F.col("z"), F.col("segments")))
+    rows = _near(points(spark, sf_dir), primitives(spark, sf_dir)).where(F.col("type") == G.AREA).where(G.inside(F.col("x"), F.col("z"), F.col("segments")))
     return rows.select("id", "primitive")
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, z = F.col("x"), F.col("z")
-    rows = once(_near(spark, sf_dir), w=G.weight(x, z), distance=G.distance(x, z, F.col("segments"))).where("w > 0")
-    return rows.select("id", "primitive", F.round("w", 6).alias("w"), F.round("distance", 6).alias("distance"))
+
+    def weighed(places: DataFrame) -> DataFrame:
+        rows = once(_near(places, primitives(spark, sf_dir)), w=G.weight(x, z), distance=G.distance(x, z, F.col("segments"))).where("w > 0")
+        # rounds the product, as DuckDB does: F.round sees the decimal digits, so halves can differ in the last place
+        return rows.select("id", "primitive", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("w", "distance")])
+
+    return by_place(points(spark, sf_dir), weighed)
 
 
 def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
