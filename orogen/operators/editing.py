@@ -72,7 +72,7 @@ def primitive_hits(pointers: DataFrame, primitives: DataFrame, threshold: float)
     An area is hit inside its outline and near it, a spline within half its width and somewhat more than near it.
     """
     area = F.col("type") == shapes.AREA
-    rows = once(primitives.where(F.size("anchors") >= 2), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
+    rows = once(spread(primitives.where(F.size("anchors") >= 2), "id"), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
     reach = F.when(area, num(threshold)).otherwise(F.greatest(num(threshold * 1.6), F.coalesce(F.col("width"), num(0)) / 2))
     rows = once(rows, segments=shapes.segments_of(F.col("points"), area), reach=reach)
     box = {f"min{a}": F.array_min(F.col("points")[a]) - F.col("reach") for a in "xz"} | {f"max{a}": F.array_max(F.col("points")[a]) + F.col("reach") for a in "xz"}

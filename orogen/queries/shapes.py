@@ -99,13 +99,15 @@ def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def primitive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.primitive_hits(points(spark, sf_dir), primitives(spark, sf_dir), THRESHOLD)
+    return by_place(points(spark, sf_dir).distinct(), lambda places: E.primitive_hits(places, primitives(spark, sf_dir), THRESHOLD))
 
 
 def cycle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = primitive_hits(spark, sf_dir)
-    chosen = hits.where("rank = 2").select("id", F.col("primitive").alias("selected"))
-    return E.next_hit(hits, chosen)
+    def cycled(places: DataFrame) -> DataFrame:
+        hits = E.primitive_hits(places, primitives(spark, sf_dir), THRESHOLD)
+        return E.next_hit(hits, hits.where("rank = 2").select("id", F.col("primitive").alias("selected")))
+
+    return by_place(points(spark, sf_dir).distinct(), cycled)
 
 
 def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
