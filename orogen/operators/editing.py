@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import once, spread
+from ..functions.frames import by_place, once, spread
 from ..functions.scalars import num
 from . import shapes
 from .bake import World
@@ -43,10 +43,11 @@ def nearest_segment(pointers: DataFrame, primitives: DataFrame, threshold: float
 
     Only usable primitives count. Of equally near outlines the later in the document wins, inside one the first
     segment. On a smoothed open outline the step from one anchor's curve to the next is passed over.
+    Pointers at one place share one search.
     """
     reach = max(18.0, threshold * 0.75)
     area = F.col("type") == shapes.AREA
-    rows = once(primitives.where(shapes.usable()), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
+    rows = once(spread(primitives.where(shapes.usable()), "id"), points=shapes.spline_points(F.col("anchors"), area, F.col("splineSmoothness")))
     raw = (F.coalesce("splineSmoothness", F.lit(shapes.SMOOTHNESS)) <= 0) | (F.size("anchors") < 3)
     n = F.size("points")
     pairs = F.transform(
@@ -60,9 +61,13 @@ def nearest_segment(pointers: DataFrame, primitives: DataFrame, threshold: float
     rows = rows.where(kept).select("primitive", "ord", F.col("s.i").alias("i"), at.alias("insert_at"), *[F.col(f"s.{e}.{a}").alias(f"{e}{a}") for e in "ab" for a in "xz"])
     rows = rows.withColumns({f"{m}{a}": f(F.col(f"a{a}"), F.col(f"b{a}")) for m, f in (("min", F.least), ("max", F.greatest)) for a in "xz"})
     s = F.struct("ax", "az", "bx", "bz")
-    met = nearby(pointers, rows, reach).withColumn("s", s)
-    met = met.withColumn("distance", F.sqrt(shapes.segment_distance2(F.col("x"), F.col("z"), F.col("s")))).where(F.col("distance") <= reach)
-    best = met.groupBy("id").agg(F.min(F.struct("distance", (-F.col("ord")).alias("later"), "i", "primitive", "insert_at")).alias("b"))
+
+    def nearest(places: DataFrame) -> DataFrame:
+        met = nearby(places, rows, reach).withColumn("s", s)
+        met = met.withColumn("distance", F.sqrt(shapes.segment_distance2(F.col("x"), F.col("z"), F.col("s")))).where(F.col("distance") <= reach)
+        return met.groupBy("id").agg(F.min(F.struct("distance", (-F.col("ord")).alias("later"), "i", "primitive", "insert_at")).alias("b"))
+
+    best = by_place(pointers, nearest).groupBy("id").agg(F.min("b").alias("b"))
     return best.select("id", "b.primitive", "b.insert_at", "b.distance")
 
 
