@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.frames import once, spread
+from ..functions.frames import by_place, once, spread
 from ..functions.scalars import clamp, num
 from ..plans.graph import compile_graph
 from . import shapes
@@ -166,23 +166,27 @@ def evaluate_points(points: DataFrame, primitives: DataFrame, world: World) -> D
 
     Unlike the bake this adds up all splines and clamps once, rounds nothing to FLOAT and knows no fields.
     Points go to primitives by the tile that holds them; points outside the world are evaluated like the others.
+    Points at one place share one evaluation.
     """
-    prepared = shapes.prepare(primitives)
+    prepared = shapes.prepare(spread(primitives, "id"))
     step = num(world.tile_size * world.unit)
     cells = prepared.withColumn("cz", F.explode(F.sequence(F.floor(F.col("minz") / step), F.floor(F.col("maxz") / step))))
     cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col("minx") / step), F.floor(F.col("maxx") / step)))).withColumnRenamed("id", "primitive")
-    given = points.select("id", "x", "z", F.floor(F.col("x") / step).alias("cx"), F.floor(F.col("z") / step).alias("cz"))
-    met = once(given.join(cells, ["cx", "cz"]).where(shapes.holds(F.col("x"), F.col("z"))), w=shapes.weight(F.col("x"), F.col("z"))).where("w > 0")
     target = shapes.target_elevation(F.col("mode"), F.col("elevation"), world.water, world.height)
     area = F.col("type") == shapes.AREA
-    found = met.groupBy("id").agg(
-        F.collect_list(F.when(area, F.struct("priority", "ord", target.alias("target"), "w", "primitive"))).alias("areas"),
-        F.collect_list(F.when(~area, F.struct("ord", (F.col("w") * F.greatest(F.lit(0.0), F.col("height"))).alias("add")))).alias("splines"),
-    )
-    base = F.aggregate(F.array_sort("areas"), F.lit(0.0), lambda e, a: e + (a["target"] - e) * a["w"])
-    rise = F.aggregate(F.array_sort("splines"), F.lit(0.0), lambda s, m: s + m["add"])
-    found = found.select("id", base.alias("base"), rise.alias("mountain"), F.get(F.reverse(F.array_sort("areas")), F.lit(0))["primitive"].alias("landform"))
-    out = points.join(found, "id", "left")
+
+    def folded(places: DataFrame) -> DataFrame:
+        given = places.select("id", "x", "z", F.floor(F.col("x") / step).alias("cx"), F.floor(F.col("z") / step).alias("cz"))
+        met = once(given.join(cells, ["cx", "cz"]).where(shapes.holds(F.col("x"), F.col("z"))), w=shapes.weight(F.col("x"), F.col("z"))).where("w > 0")
+        found = met.groupBy("id").agg(
+            F.collect_list(F.when(area, F.struct("priority", "ord", target.alias("target"), "w", "primitive"))).alias("areas"),
+            F.collect_list(F.when(~area, F.struct("ord", (F.col("w") * F.greatest(F.lit(0.0), F.col("height"))).alias("add")))).alias("splines"),
+        )
+        base = F.aggregate(F.array_sort("areas"), F.lit(0.0), lambda e, a: e + (a["target"] - e) * a["w"])
+        rise = F.aggregate(F.array_sort("splines"), F.lit(0.0), lambda s, m: s + m["add"])
+        return found.select("id", base.alias("base"), rise.alias("mountain"), F.get(F.reverse(F.array_sort("areas")), F.lit(0))["primitive"].alias("landform"))
+
+    out = by_place(points, folded, "left")
     mountain = F.coalesce("mountain", F.lit(0.0))
     return out.select("id", clamp(F.coalesce("base", F.lit(0.0)) + mountain, 0, world.height).alias("elevation"), "landform", mountain.alias("mountain"))
 
