@@ -22,8 +22,8 @@ def _near(places: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(points(spark, sf_dir), primitives(spark, sf_dir)).where(F.col("type") == G.AREA).where(G.inside(F.col("x"), F.col("z"), F.col("segments")))
-    return rows.select("id", "primitive")
+    areas = primitives(spark, sf_dir).where(F.col("type") == G.AREA)
+    return by_place(points(spark, sf_dir), lambda places: _near(places, areas).where(G.inside(F.col("x"), F.col("z"), F.col("segments"))).select("id", "primitive"))
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def made(plan):
     return own + sum(made(below.apply(i)) for i in range(below.size()))
 
 
-@pytest.mark.parametrize("name", ["weights", "cycle_hits", "primitive_hits", "nearest_segment", "point_evaluate"])
+@pytest.mark.parametrize("name", ["weights", "cycle_hits", "primitive_hits", "nearest_segment", "point_evaluate", "point_in_polygon"])
 def test_points_at_one_place_share_their_work(spark, tables, monkeypatch, name):
     met, nearby = [], E.nearby
     monkeypatch.setattr(E, "nearby", lambda pointers, *rest: met.append(pointers.count()) or nearby(pointers, *rest))
